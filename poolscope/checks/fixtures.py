@@ -37,18 +37,20 @@ SELECT CASE WHEN l_partkey % 7 = 0 THEN 'lib' ELSE 'pkg' END || CAST(l_partkey A
   l_partkey, l_suppkey
 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey""",
     "fx_packages": """
-SELECT package, version, repo, min(architecture) AS architecture,
-  min('pool/' || branch || '/' || component || '/'
+SELECT package, version, repo, architecture,
+  'pool/' || branch || '/' || component || '/'
     || substring(package, 1, CASE WHEN package LIKE 'lib%' THEN 4 ELSE 1 END)
-    || '/' || package || '_' || version || '_' || architecture || '.deb') AS filename,
-  CAST(floor(min(l_extendedprice)) AS BIGINT) AS size, max(l_shipdate) AS mtime,
-  CASE WHEN max(l_tax) = 0 THEN NULL ELSE max(l_shipdate) END AS debtime,
-  min(CASE l_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'util' ELSE 'lib' END) AS section,
-  max(l_orderkey) AS installed_size,
-  min(CASE l_suppkey % 10 WHEN 0 THEN 'Null Packager <null@example.org>'
-      WHEN 1 THEN 'nomail' ELSE 'Supplier <s@example.org>' END) AS maintainer,
-  min('about ' || CAST(l_partkey AS STRING)) AS description
-FROM fx_lines JOIN fx_repos ON name = repo GROUP BY package, version, repo""",
+    || '/' || package || '_' || version || '_' || architecture || '.deb' AS filename,
+  q.size, q.mtime, q.debtime, CASE section_rank WHEN 1 THEN 'lib' WHEN 2 THEN 'util' ELSE NULL END AS section, installed_size,
+  CASE maintainer_rank WHEN 0 THEN 'Null Packager <null@example.org>' WHEN 1 THEN 'Supplier <s@example.org>' ELSE 'nomail' END AS maintainer,
+  'about ' || CAST(partkey AS STRING) AS description
+FROM (
+  SELECT package, version, repo, CAST(floor(min(l_extendedprice)) AS BIGINT) AS size, max(l_shipdate) AS mtime,
+    CASE WHEN max(l_tax) = 0 THEN NULL ELSE max(l_shipdate) END AS debtime,
+    min(CASE l_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 2 ELSE 1 END) AS section_rank, max(l_orderkey) AS installed_size,
+    min(CASE l_suppkey % 10 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END) AS maintainer_rank, min(l_partkey) AS partkey
+  FROM fx_lines GROUP BY package, version, repo) q
+JOIN fx_repos ON name = repo""",
     "fx_duplicates": """
 SELECT package, version, repo, filename || '.dup' AS filename, size, mtime
 FROM fx_packages WHERE version LIKE '1:%' AND size % 5 = 0""",

@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 # the end of a run, so "~" sorts before the end and letters after it.
 RANKED = "~|" + ascii_uppercase + ascii_lowercase + "+-."
 RANK_CODES = "".join(chr(48 + i) for i in range(len(RANKED)))
+PLACEHOLDERS = "".join(chr(0xA1 + i) for i in range(len(RANKED)))
+END = PLACEHOLDERS[RANKED.index("|")]
+SHORT, MEDIUM = 3, 9
+LENGTH_MARKS = "".join(chr(0x100 + n) for n in range(MEDIUM))
+LENGTH_CODES = "".join(chr(48 + n) for n in range(MEDIUM))
 NO_EPOCH = "00"
-NO_REVISION = "1"
 MAX_DIGITS = 26
 WELL_FORMED = "^([0-9]+:)?[A-Za-z0-9.+~-]+$"
 
@@ -27,31 +31,58 @@ def _number(digits: Column) -> Column:
     return F.concat(F.char(F.length(bare) + 47), bare)
 
 
-def _runs(part: Column) -> Column:
-    """Key of one version part: alternating non-digit and digit runs."""
-    words = F.split(part, "[0-9]+", -1)
-    numbers = F.regexp_extract_all(part, F.lit("([0-9]+)"), 1)
-    coded = F.zip_with(
-        words,
-        numbers,
-        lambda w, n: F.concat(
-            F.translate(F.concat(w, F.lit("|")), RANKED, RANK_CODES),
-            F.coalesce(_number(n), F.lit("")),
+def _body_key(body: Column) -> Column:
+    """Key of upstream version and revision, the revision starting at the last "-".
+
+    Both go through one pass: a missing revision reads like an empty one. The
+    characters are ranked with placeholders first, because the final codes may
+    look like digits.
+    """
+    tail = F.substring_index(body, "-", -1)
+    marked = F.when(
+        F.contains(body, F.lit("-")),
+        F.concat(
+            body.substr(F.lit(1), F.length(body) - F.length(tail) - 1), F.lit("|!"), tail
         ),
+    ).otherwise(F.concat(body, F.lit("|!")))
+    held = F.regexp_replace(
+        F.translate(marked, RANKED, PLACEHOLDERS), "(?<![0-9])0+(?=[0-9])", ""
+    )
+    coded = (
+        F.when(~held.rlike("[0-9]{%d}" % (SHORT + 1)), _marked_lengths(held, SHORT))
+        .when(~held.rlike("[0-9]{%d}" % (MEDIUM + 1)), _marked_lengths(held, MEDIUM))
+        .otherwise(_zipped_lengths(held))
+    )
+    return F.translate(
+        F.concat(coded, F.lit(END)), PLACEHOLDERS + LENGTH_MARKS, RANK_CODES + LENGTH_CODES
     )
-    return F.array_join(coded, "")
 
 
-def _split(version: Column) -> tuple[Column, Column, Column, Column]:
-    """(colon position, epoch digits, upstream part, revision or null)."""
-    colon = F.instr(version, ":")
-    body = version.substr(colon + 1, F.length(version))
-    tail = F.substring_index(body, "-", -1)
-    dashed = F.contains(body, F.lit("-"))
-    upstream = F.when(
-        dashed, body.substr(F.lit(1), F.length(body) - F.length(tail) - 1)
-    ).otherwise(body)
-    return colon, F.substring_index(version, ":", 1), upstream, F.when(dashed, tail)
+def _marked_lengths(held: Column, longest: int) -> Column:
+    """Mark the word end and the length before every digit run.
+
+    One replacement per length keeps the whole key in generated code.
+    """
+    for n in range(1, longest + 1):
+        held = F.regexp_replace(
+            held, "(?<![0-9])([0-9]{%d})(?![0-9])" % n, END + LENGTH_MARKS[n - 1] + "$1"
+        )
+    return held
+
+
+def _zipped_lengths(held: Column) -> Column:
+    """The same for runs of any length, word by word."""
+    runs = F.zip_with(
+        F.split(held, "[0-9]+", -1),
+        F.regexp_extract_all(held, F.lit("([0-9]+)"), 1),
+        lambda word, number: F.concat(
+            word,
+            F.coalesce(
+                F.concat(F.lit(END), F.char(F.length(number) + 47), number), F.lit("")
+            ),
+        ),
+    )
+    return F.array_join(runs, "")
 
 
 def version_key(version: Column, strict: bool = False) -> Column:
@@ -60,13 +91,12 @@ def version_key(version: Column, strict: bool = False) -> Column:
     ``strict`` gives null for malformed versions and for digit runs longer than
     the supported length, so such rows can be set aside.
     """
-    colon, epoch, upstream, revision = _split(version)
+    colon = F.instr(version, ":")
+    epoch = F.substring_index(version, ":", 1)
     key = F.concat(
         F.when(colon == 0, F.lit(NO_EPOCH)).otherwise(_number(epoch)),
         F.lit("!"),
-        _runs(upstream),
-        F.lit("!"),
-        F.coalesce(_runs(revision), F.lit(NO_REVISION)),
+        _body_key(version.substr(colon + 1, F.length(version))),
     )
     if strict:
         too_long = version.rlike("(?<![0-9])0*[1-9][0-9]{%d}" % MAX_DIGITS)
