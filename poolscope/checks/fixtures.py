@@ -7,6 +7,7 @@ read the same rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -243,5 +244,10 @@ class Fixtures:
                 self._tables[needed].createOrReplaceTempView(needed)
         return self._tables[fixture]
 
+    def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = build()
+        return self._tables[name]
+
     def _base(self, name: str) -> DataFrame:
         return self._tables[name] if name in self._tables else getattr(self, name)

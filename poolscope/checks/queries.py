@@ -69,9 +69,13 @@ def text_of(*columns: str) -> list[Column]:
     return [F.col(c).cast("string").alias(c) for c in columns]
 
 
+def kept_packages(fx: Fixtures) -> DataFrame:
+    """The package table, written once for queries that read it many times."""
+    return fx.once("kept_packages", lambda: stored(packages(fx), "packages"))
+
+
 def kept_latest(fx: Fixtures) -> DataFrame:
-    """The latest packages, written once for queries that read them many times."""
-    return stored(latest(fx), "latest")
+    return fx.once("kept_latest", lambda: stored(latest(fx), "latest"))
 
 
 # ---- scalar functions ----------------------------------------------------
@@ -533,7 +537,8 @@ def _(fx):
 
 @query("i302", _all(302))
 def _(fx):
-    return da.detect_302(fx.packages, latest(fx))
+    every = kept_packages(fx)
+    return da.detect_302(every, catalogue.latest_packages(every))
 
 
 @query("i303", _all(303))
@@ -650,7 +655,7 @@ def _(fx):
 
 def tables(fx: Fixtures) -> Tables:
     return Tables(
-        repos=fx.repos, packages=packages(fx), duplicates=fx.duplicates,
+        repos=fx.repos, packages=kept_packages(fx), duplicates=fx.duplicates,
         dependencies=fx.dependencies, sodep=fx.sodep, files=fx.files, issues=fx.issues_prev,
         trees=fx.trees, tree_branches=fx.tree_branches, sources=fx.sources,
         source_dups=fx.source_dups, source_versions=fx.source_versions,
@@ -688,15 +693,17 @@ def shown(issues: DataFrame, *more: str) -> DataFrame:
 
 def found(fx: Fixtures) -> DataFrame:
     """Findings to merge: corrupt, undersized and unmet-soname issues."""
-    new = kept_latest(fx)
-    return (
-        da.detect_301(packages(fx)).unionByName(da.detect_302(packages(fx), new))
-        .unionByName(dl.detect_431(fx.sodep, new, fx.repos, fx.source_deps))
+    every = kept_packages(fx)
+    new = fx.once("kept_latest", lambda: stored(catalogue.latest_packages(every), "latest"))
+    return stored(
+        da.detect_301(every).unionByName(da.detect_302(every, new))
+        .unionByName(dl.detect_431(fx.sodep, new, fx.repos, fx.source_deps)),
+        "findings",
     )
 
 
 def changed(fx: Fixtures) -> DataFrame:
-    return lifecycle.changed_since(packages(fx), fx.issues_prev)
+    return lifecycle.changed_since(kept_packages(fx), fx.issues_prev)
 
 
 _FOUND = " UNION ALL ".join(_all(n) for n in (301, 302, 431))
@@ -909,9 +916,8 @@ SELECT package, version, repo, filename, size, mtime FROM fx_packages UNION ALL
 SELECT package, version, repo, filename, row_number() OVER (PARTITION BY package, version, repo ORDER BY mtime DESC, filename DESC) = 1 AS kept FROM ({_COPIES})""")
 def _(fx):
     cols = [*PACKAGE_KEY, "filename", "size", "mtime"]
-    kept, rest = changes.resolve_duplicates(
-        fx.packages.select(*cols).unionByName(fx.duplicates.select(*cols))
-    )
+    copies = fx.packages.select(*cols).unionByName(fx.duplicates.select(*cols))
+    kept, rest = changes.resolve_duplicates(stored(copies, "copies"))
     return kept.withColumn("kept", F.lit(True)).unionByName(rest.withColumn("kept", F.lit(False))).select(
         *PACKAGE_KEY, "filename", "kept"
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from poolscope.functions.scan import running_max_before
 from poolscope.functions.versions import total_order, version_key
+from poolscope.plans.storage import stored
 from poolscope.schemas import PACKAGE_KEY
 
 BLOCK_ROWS = 65536
@@ -82,19 +83,21 @@ def classify_changes(
     same version is known; rows with a true ``replaced`` column are overwrites.
 
     ``block`` cuts the arrival order into ranges so that one busy package is
-    spread over tasks; by default it suits integer orders.
+    spread over tasks. By default these are number ranges of an integer order, and
+    sampled ranges of any other.
     """
     keys = ["package", "repo"]
     rows = arrivals.withColumn("_v", total_order(F.col("version")))
     if block is None:
-        kind = arrivals.schema[order].dataType.typeName()
-        if kind in ("long", "integer", "short"):
+        if arrivals.schema[order].dataType.typeName() in ("long", "integer", "short"):
             block = F.floor(F.col(order) / BLOCK_ROWS)
-        elif kind in ("timestamp", "timestamp_ntz", "date"):
-            block = F.to_date(F.col(order))
         else:
-            # Text in byte order: its first characters are ordered like the text.
-            block = F.substring(order, 1, 24)
+            # Ranges of the sorted rows; written, so that every reader sees the same ones.
+            ranged = rows.repartitionByRange(*keys, order).withColumn(
+                "_range", F.spark_partition_id()
+            )
+            rows = stored(ranged, "arrival-ranges")
+            block = F.col("_range")
     rows = running_max_before(rows, keys, [order], block, "_v", "_prev")
     first = arrivals.groupBy(*keys, "version").agg(F.min(order).alias("_first"))
     rows = rows.join(first, [*keys, "version"])
