@@ -43,14 +43,16 @@ class Views:
     latest: DataFrame
     atoms: DataFrame
     breaks: DataFrame
+    issues: DataFrame
     changed_packages: DataFrame
     changed_latest: DataFrame
     full: bool
 
 
 def derive(t: Tables, full: bool = False) -> Views:
-    """Latest packages, dependency atoms, soname breaks and what changed.
+    """Latest packages, dependency atoms, soname breaks, live issues, what changed.
 
+    The last analysis is dated by the issues left after the stale ones are gone.
     The breaks read the previous issues, so detector 432 sees the 431 findings of
     the run before. With ``full`` every row counts as changed.
     """
@@ -59,12 +61,15 @@ def derive(t: Tables, full: bool = False) -> Views:
     breaks = stored(
         catalogue.soname_breaks(t.sodep, latest, t.repos, t.issues), "breaks"
     )
+    issues = stored(
+        lifecycle.purge_stale(t.issues, latest, t.tree_branches, t.source_versions), "kept-issues"
+    )
     if full:
-        return Views(latest, atoms, breaks, t.packages, latest, True)
+        return Views(latest, atoms, breaks, issues, t.packages, latest, True)
     return Views(
-        latest, atoms, breaks,
-        lifecycle.changed_since(t.packages, t.issues),
-        lifecycle.changed_since(latest, t.issues),
+        latest, atoms, breaks, issues,
+        lifecycle.changed_since(t.packages, issues),
+        lifecycle.changed_since(latest, issues),
         False,
     )
 
@@ -124,10 +129,9 @@ def analyze(
     Findings are written once; the merge and the statistics read them back.
     """
     views = derive(t, full)
-    current = lifecycle.purge_stale(t.issues, views.latest, t.tree_branches, t.source_versions)
     found = stored(detect_all(t, views, core_tree, **options), "findings")
     issues = stored(
-        lifecycle.merge_issues(current, found, views.changed_packages, now), "issues"
+        lifecycle.merge_issues(views.issues, found, views.changed_packages, now), "issues"
     )
     stats = lifecycle.issue_stats(
         issues, views.latest, t.sources, t.source_versions, t.tree_branches
