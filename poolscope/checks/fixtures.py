@@ -141,8 +141,9 @@ SELECT package, version, repo, 431, 0, name || ver, t, t, t,
   '{"repo":"' || repo || '","package":"' || package || '","version":"' || version || '","sover_provide":"' || ver || '"}'
 FROM (SELECT *, (SELECT min(l_shipdate) + INTERVAL '300' DAY FROM lineitem) AS t FROM fx_sodep WHERE depends = 1 AND ver <> '') q
 UNION ALL
-SELECT DISTINCT package, version, branch, 103, 0, githash, t, t, t, CAST(NULL AS STRING)
-FROM (SELECT *, (SELECT min(l_shipdate) + INTERVAL '200' DAY FROM lineitem) AS t FROM fx_source_versions) r""",
+SELECT DISTINCT package, CASE WHEN epoch <> '' THEN version WHEN release = '0' THEN version ELSE version || '-' || release END,
+  tree || '/' || branch, 103, 0, githash, t, t, t, CAST(NULL AS STRING)
+FROM (SELECT *, (SELECT min(l_shipdate) + INTERVAL '200' DAY FROM lineitem) AS t FROM fx_source_versions) r JOIN fx_sources s ON s.name = package""",
     "fx_listing": """
 SELECT CASE WHEN size % 17 = 0 THEN filename || '.new' ELSE filename END AS filename,
   CASE WHEN size % 13 = 0 THEN size + 1 ELSE size END AS size,
