@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +79,10 @@ def kept_latest(fx: Fixtures) -> DataFrame:
     return fx.once("kept_latest", lambda: stored(latest(fx), "latest"))
 
 
+def fresh_folder(fx: Fixtures, label: str) -> str:
+    return f"{shared_folder(fx.spark)}/poolscope/{label}-{uuid4().hex}"
+
+
 # ---- scalar functions ----------------------------------------------------
 
 @query("version_key", f"SELECT DISTINCT version, {vk('version')} AS vk FROM fx_packages")
@@ -252,7 +257,7 @@ def _(fx):
 @query("read_stanzas_file", f"""
 SELECT package, count(*) AS n, min(version) AS first_version FROM fx_packages GROUP BY package""")
 def _(fx):
-    folder = f"{shared_folder(fx.spark)}/poolscope/stanzas"
+    folder = fresh_folder(fx, "stanzas")
     blank = F.when(F.length("package") % 2 == 0, F.lit("\n\n")).otherwise(F.lit("\n \t\n"))
     fx.stanza_text.select(F.concat("text", blank)).write.mode("overwrite").text(folder, lineSep="\n")
     read = stanza_source.read_stanzas(fx.spark, folder, ["Package", "Version"])
@@ -278,7 +283,7 @@ def _(fx):
 @query("ingest_snapshot", "SELECT 7 AS tid, package, dependency, relop, version, relationship FROM fx_source_deps")
 def _(fx):
     source = fx.source_deps.select("package", "dependency", "relop", "version", "relationship")
-    target = f"{shared_folder(fx.spark)}/poolscope/snapshot"
+    target = fresh_folder(fx, "snapshot")
     return snapshots.ingest_snapshot(source, target, {"tid": F.lit(7)})
 
 
@@ -901,9 +906,7 @@ def _(fx):
             F.lit("amd64").alias("architecture"),
         )
     )
-    from uuid import uuid4
-
-    target = f"{shared_folder(fx.spark)}/poolscope/stream-{uuid4().hex}"
+    target = fresh_folder(fx, "stream")
     stream_changes(arrivals, target, order="event_id").awaitTermination()
     return fx.spark.read.parquet(f"{target}/events").drop("batch")
 
@@ -996,7 +999,7 @@ def _(fx):
 SELECT r.branch, r.component, p.architecture, count(*) AS stanzas FROM fx_packages p JOIN fx_repos r ON r.name = p.repo
 WHERE p.debtime IS NOT NULL GROUP BY r.branch, r.component, p.architecture""")
 def _(fx):
-    target = f"{shared_folder(fx.spark)}/poolscope/index"
+    target = fresh_folder(fx, "index")
     index.write_package_index(
         index.package_index(with_sha(fx.packages), fx.repos, fx.dependencies), target
     )

@@ -53,7 +53,7 @@ def keys(spark, texts, strict=False):
 
 def test_key_text(spark):
     assert keys(spark, ["1:2.0-0.3", "2.0", None, "10a"]) == [
-        "01!102h1001!100h1031", "00!102h1001!1", None, "00!1210L1!1",
+        "01!102h1001!100h1031", "00!102h1001!1", None, "00!1110L1!1",
     ]
 
 
