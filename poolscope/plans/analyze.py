@@ -82,12 +82,12 @@ def detect_all(
     """Findings of all detectors, or of those in ``which``."""
     new, changed = v.latest, v.changed_latest
     scripts = (t.basherr, t.package_rel, t.marks, t.trees, t.source_versions, t.sources)
-    closure_of = lambda: libraries.dependency_closure(  # noqa: E731 - built only if 432 runs
-        libraries.satisfied_edges(
-            t.source_deps, catalogue.source_packages(t.sources, t.trees, t.source_versions)
-        ),
-        v.breaks,
-    )
+
+    def closure() -> DataFrame:
+        current = catalogue.source_packages(t.sources, t.trees, t.source_versions)
+        edges = libraries.satisfied_edges(t.source_deps, current)
+        return libraries.dependency_closure(edges, v.breaks)
+
     detectors = {
         101: lambda: sources.detect_101(*scripts),
         102: lambda: sources.detect_102(*scripts),
@@ -113,7 +113,7 @@ def detect_all(
         ),
         431: lambda: libraries.detect_431(t.sodep, new, t.repos, t.source_deps, strict_compat),
         432: lambda: libraries.detect_432(
-            v.breaks, closure_of(), new, changed, t.repos, t.sources, t.sodep, t.source_deps,
+            v.breaks, closure(), new, changed, t.repos, t.sources, t.sodep, t.source_deps,
             core_tree,
         ),
     }

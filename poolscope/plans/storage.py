@@ -1,4 +1,4 @@
-"""Written intermediate tables and atomic snapshots on shared storage."""
+"""Written intermediate tables on shared storage."""
 
 from __future__ import annotations
 
