@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from poolscope.operators.detectors import (
     archives as da, collisions as dc, dependencies as dd, libraries as dl, sources as ds,
 )
 from poolscope.plans.analyze import Tables, derive, detect_all
-from poolscope.plans.storage import shared_folder, stored
+from poolscope.plans.storage import fresh_path, stored
 from poolscope.schemas import PACKAGE_KEY
 from poolscope.sinks import index
 from poolscope.sources import branches, inventory, snapshots
@@ -80,7 +79,7 @@ def kept_latest(fx: Fixtures) -> DataFrame:
 
 
 def fresh_folder(fx: Fixtures, label: str) -> str:
-    return f"{shared_folder(fx.spark)}/poolscope/{label}-{uuid4().hex}"
+    return fresh_path(fx.spark, label)
 
 
 # ---- scalar functions ----------------------------------------------------
