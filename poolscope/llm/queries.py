@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from poolscope.llm import jaccard
+from poolscope.llm import jaccard, substrings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,8 +19,13 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.kept_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op2_jaccard_join": op2_jaccard_join}
+    named = (op2_jaccard_join, op3_substring_dedup)
+    return {q.__name__: q for q in named}
 
 
 def oracle_sql() -> dict[str, str]:
