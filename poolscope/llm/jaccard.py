@@ -8,23 +8,25 @@ the shared token must leave room for the overlap; then the sets are compared.
 
 All orders put frequent tokens last. Frequency comes from counts over all
 documents in a table of ``2**SKETCH_BITS`` cells, whose size never grows; a cell
-only influences the order, never the result. Tokens of ordinary cells are
+only influences the order, never the result. A token of an ordinary cell is
 grouped in one window, whose size the cell's count bounds; tokens of frequent
-cells are grouped by aggregation and join, so no key is held by one task.
+cells are grouped in ``SALTS`` parts, whose leaders are then aggregated.
 
-Equal sets form one class, keyed by a 64-bit hash of the set together with its
-size. Large groups are not paired out: each member of a token's group is first
+Large groups are not paired out: each member of a token's group is first
 compared with the group's cleanest member, components are formed, and only
 members of different components that still pass the filters are compared. That
-loses no link between components, which is all the result needs.
+loses no link between components, which is all the result needs. Equal sets, by
+a 64-bit hash together with the size, join one component without comparison.
 
 Defined results: null text or no words: empty set, own component. Null ids:
-``component_id`` null, linked with nothing. Repeated rows: one class. Empty
-table: empty result. Other columns are ignored.
+``component_id`` null, linked with nothing. Repeated rows (same id and text): equal
+results; an id is taken to name one text. Empty table: empty result. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +44,8 @@ SKETCH_BITS = 22
 CHUNK_BITS = 16
 ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 ROWS = 200_000
+SALTS = 64
+PART = 500
 
 
 def shingles(text: bytes | None, n: int = N) -> np.ndarray:
@@ -78,66 +82,63 @@ class TokenOrder:
         return tokens[first], level[first]
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int):
-    """(id, tokens) of the rows that have words."""
+def _new_sets(batches: Iterator[pa.RecordBatch], n: int):
+    """(id, tokens) of rows with words, once for equal sets of a task."""
+    seen: set[int] = set()
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
             tokens = shingles(text, n)
-            if len(tokens):
+            if len(tokens) and (cls := class_of(tokens)) not in seen:
+                seen.add(cls)
                 yield doc, tokens
 
 
-def _new_sets(batches: Iterator[pa.RecordBatch], n: int):
-    """(class, tokens), once for equal sets of a task."""
-    seen: set[int] = set()
-    for _, tokens in _sets(batches, n):
-        cls = class_of(tokens)
-        if cls not in seen:
-            seen.add(cls)
-            yield cls, tokens
+def classes_and_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    """(doc_id, n, cls, chunk, counts): a row per document, and the task's cell counts.
 
-
-def set_classes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, cls) of every row; n = 0 and no class without words."""
+    Counts are fixed tables of a task, cut into compressed chunks; rows of documents
+    have no chunk. Without words n is 0 and there is no class.
+    """
+    chunks, width = 1 << (bits - CHUNK_BITS), 1 << CHUNK_BITS
+    shift = np.uint64(64 - bits)
+    names = ["doc_id", "n", "cls", "chunk", "counts"]
 
     def run(batches):
+        cells, seen = np.zeros(1 << bits, np.uint16), set()
         for batch in batches:
-            size, cls = [], []
-            for text in byte_texts(batch.column(1)):
+            size, classes = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
                 tokens = shingles(text, n)
+                cls = class_of(tokens) if len(tokens) else None
                 size.append(len(tokens))
-                cls.append(class_of(tokens) if len(tokens) else None)
+                classes.append(cls)
+                if cls is not None and doc is not None and cls not in seen:
+                    seen.add(cls)
+                    at = np.unique((tokens >> shift).astype(np.int64))
+                    cells[at] += cells[at] < 65535
+            none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(cls, pa.int64())], ["doc_id", "n", "cls"]
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(classes, pa.int64()),
+                 none.cast(pa.int32()), none.cast(pa.binary())], names,
             )
+        none = pa.nulls(chunks, pa.int64())
+        parts = [zlib.compress(cells[i * width : (i + 1) * width].tobytes(), 1) for i in range(chunks)]
+        yield pa.RecordBatch.from_arrays(
+            [none, none, none, pa.array(range(chunks), pa.int32()), pa.array(parts, pa.binary())], names
+        )
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long")
-
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, chunk int, counts binary")
 
-def frequency_levels(docs: DataFrame, n: int, bits: int) -> np.ndarray:
-    """Per cell 0 for an ordinary count, else one more for every doubling beyond it.
 
-    Tasks count into fixed tables; the tables are added up chunk by chunk.
-    """
+def frequency_levels(counted: DataFrame, bits: int) -> np.ndarray:
+    """Per cell 0 for an ordinary count, else one more for every doubling beyond it."""
     chunks, width = 1 << (bits - CHUNK_BITS), 1 << CHUNK_BITS
-    kind = "chunk int, counts binary"
-
-    def count(batches):
-        cells = np.zeros(1 << bits, np.uint16)
-        shift = np.uint64(64 - bits)
-        for _, tokens in _new_sets(batches, n):
-            at = np.unique((tokens >> shift).astype(np.int64))
-            cells[at] += cells[at] < 65535
-        parts = [cells[i * width : (i + 1) * width].tobytes() for i in range(chunks)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(chunks), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"]
-        )
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cells = np.frombuffer(part, np.uint16)
+                cells = np.frombuffer(zlib.decompress(part), np.uint16)
                 total[i] = total[i] + cells if i in total else cells.astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())],
@@ -145,16 +146,30 @@ def frequency_levels(docs: DataFrame, n: int, bits: int) -> np.ndarray:
         )
 
     counts = np.zeros((chunks, width), np.uint32)
-    for row in docs.mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).collect():
+    summed = counted.filter("chunk is not null").select("chunk", "counts").repartition("chunk")
+    for row in summed.mapInArrow(add, "chunk int, counts binary").collect():
         counts[row.chunk] = np.frombuffer(row.counts, np.uint32)
     mean = counts.mean()
     usual = mean + 4 * np.sqrt(mean) + 4
     return np.ceil(np.log2(np.maximum(counts.ravel(), 1) / usual)).clip(0, 62).astype(np.uint8)
 
 
-def prefix_tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """(token, cls, n, i, frequent): the prefix of each set under the first order, i from 1."""
-    names = ["token", "cls", "n", "i", "frequent"]
+# A prefix row is two longs. From the top of the first: 43 bits of the token,
+# whether its cell is frequent, floor(32 log2 n), and floor(1024 (i - 1) / n) of
+# its position i. Rounded values only loosen the filters.
+SIZE_STEPS, PLACE_STEPS = 32, 1024
+FREQUENT = 1 << 20
+
+
+def pack(tokens: np.ndarray, level: np.ndarray, n: int) -> np.ndarray:
+    size = min(int(SIZE_STEPS * np.log2(n) + 1e-9), 1023)
+    place = PLACE_STEPS * np.arange(len(tokens)) // n
+    low = (level > 0).astype(np.uint64) << np.uint64(20) | np.uint64(size << 10) | place.astype(np.uint64)
+    return signed((tokens >> np.uint64(21)) << np.uint64(21) | low)
+
+
+def prefix_rows(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
+    """(x, doc_id): the packed prefix of each set under the first order."""
 
     def run(batches):
         order = TokenOrder(levels.value, ORDERS[0])
@@ -162,105 +177,147 @@ def prefix_tokens(docs: DataFrame, levels, n: int, percent: int) -> DataFrame:
 
         def flush():
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-        for cls, tokens in _new_sets(batches, n):
-            size = len(tokens)
-            first, level = order.prefix(tokens, prefix_length(size, percent))
-            k = len(first)
-            held.append((
-                signed(first), np.full(k, cls, np.int64), np.full(k, size, np.int32),
-                np.arange(1, k + 1, dtype=np.int32), level > 0,
-            ))
-            rows += k
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["x", "doc_id"])
+
+        for doc, tokens in _new_sets(batches, n):
+            first, level = order.prefix(tokens, prefix_length(len(tokens), percent))
+            held.append((pack(first, level, len(tokens)), np.full(len(first), doc, np.int64)))
+            rows += len(first)
             if rows >= ROWS:
                 yield flush()
                 held, rows = [], 0
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "token long, cls long, n int, i int, frequent boolean")
+    return docs.mapInArrow(run, "x long, doc_id long")
 
 
-def shared_tokens(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows whose token two classes have, with the group's cleanest member."""
-    clean = F.struct((F.col("i") / F.col("n")).alias("f"), F.col("cls").alias("l"), F.col("n").alias("ln"), F.col("i").alias("li"))
-    rows = prefixes.withColumn("clean", clean)
-    group = Window.partitionBy("token")
-    usual = (
-        rows.filter("not frequent")
-        .withColumn("c", F.count("*").over(group))
-        .filter("c > 1")
-        .withColumn("lead", F.min("clean").over(group))
-    )
-    frequent = rows.filter("frequent")
-    # Equal sets met by different tasks are one member.
-    groups = (
-        frequent.groupBy("token")
-        .agg(F.min("clean").alias("lead"), F.min("cls").alias("least"), F.max("cls").alias("most"))
-        .filter("least <> most").drop("least", "most")
+def _place(x: str) -> Column:
+    return F.col(x).bitwiseAND(1023)
+
+
+def _size(x: str) -> Column:
+    return F.shiftright(x, 10).bitwiseAND(1023)
+
+
+def may_link(x1: str, x2: str, percent: int) -> Column:
+    """Sizes allow a link, and enough tokens follow when this is the first shared one."""
+    least1, least2 = (F.pow(F.lit(2.0), _size(x) / SIZE_STEPS) for x in (x1, x2))
+    step = 2.0 ** (1 / SIZE_STEPS)
+    room = step * F.least(*[n * (1 - _place(x) / PLACE_STEPS) for n, x in ((least1, x1), (least2, x2))])
+    slack = 1.0001
+    return (100 * slack * step * F.least(least1, least2) >= percent * F.greatest(least1, least2)) & (
+        (100 + percent) * slack * room >= percent * (least1 + least2)
     )
-    both = usual.select("token", "cls", "n", "i", "lead").unionByName(
-        frequent.join(groups, "token").select("token", "cls", "n", "i", "lead")
+
+
+def shared_tokens(rows: DataFrame) -> DataFrame:
+    """(token, x, doc_id, lead, lead_x): rows whose token others may share, with a leader.
+
+    The leader is the member with the fewest tokens before this one. Rows of
+    frequent tokens are all kept; their leader is that of their salted part.
+    """
+    token = F.shiftrightunsigned("x", 21)
+    salt = F.when(F.col("x").bitwiseAND(FREQUENT) != 0, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0)
+    group = Window.partitionBy("token", "salt")
+    clean = F.struct(_place("x").alias("f"), F.col("doc_id").alias("lead"), F.col("x").alias("lead_x"))
+    return (
+        rows.repartition(token, salt).withColumns({"token": token, "salt": salt})
+        .withColumn("members", F.count("*").over(group))
+        .filter((F.col("members") > 1) | (F.col("x").bitwiseAND(FREQUENT) != 0))
+        .withColumn("first", F.min(clean).over(group))
+        .select("token", "x", "doc_id", "first.lead", "first.lead_x")
     )
-    return both.select("token", "cls", "n", "i", "lead.l", "lead.ln", "lead.li")
 
 
-def may_link(n1: str, i1: str, n2: str, i2: str, percent: int) -> Column:
-    """Sizes allow a link, and enough tokens follow when this is the first shared one."""
-    a, b = F.col(n1), F.col(n2)
-    room = 1 + F.least(a - F.col(i1), b - F.col(i2))
-    return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (
-        (100 + percent) * room >= percent * (a + b)
+def leads(shared: DataFrame, percent: int) -> DataFrame:
+    """(hub, member): every member with the leader of its token's whole group."""
+    frequent = F.col("x").bitwiseAND(FREQUENT) != 0
+    clean = F.struct(_place("lead_x").alias("f"), "lead", "lead_x")
+    tops = shared.filter(frequent).groupBy("token").agg(F.min(clean).alias("top"))
+    tops = stored(tops.select("token", "top.lead", "top.lead_x"), "jaccard-tops")
+    whole = join_by_size(shared.filter(frequent).select("token", "x", "doc_id"), tops, "token", "inner")
+    rows = shared.filter(~frequent).unionByName(whole)
+    return (
+        rows.filter(F.col("doc_id") != F.col("lead")).filter(may_link("x", "lead_x", percent))
+        .select(F.col("lead").alias("hub"), F.col("doc_id").alias("member")).distinct()
     )
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, levels, n: int, percent: int) -> DataFrame:
-    """(cls, n, tokens, p1, p2): whole sets and prefixes under the other orders.
+def enough_shared(n1: Column, n2: Column, percent: int) -> Column:
+    """The least number of common prefix tokens of linked sets with these least sizes.
 
-    ``wanted`` holds the id of one document per class. Prefix tokens are cut to 32 bits.
+    The prefix that ends first lies wholly before the other's end, so each of its
+    tokens is common or one of the few that a link lets it lack.
     """
-    names = ["cls", "n", "tokens", "p1", "p2"]
+    step = 2.0 ** (1 / SIZE_STEPS)
+    whole = percent / (100 + percent) * (n1 + n2)
+    return whole - percent / 100 * step * 1.0001 * F.greatest(n1, n2)
 
-    def run(batches):
-        orders = [TokenOrder(levels.value, salt) for salt in ORDERS[1:]]
-        for batch in batches:
-            for part in range(0, batch.num_rows, 500):
-                cls, size, sets, prefixes = [], [], [], [[], []]
-                for _, tokens in _sets(iter([batch.slice(part, 500)]), n):
-                    k = prefix_length(len(tokens), percent)
-                    cls.append(class_of(tokens))
-                    size.append(len(tokens))
-                    sets.append(signed(tokens))
-                    for order, out in zip(orders, prefixes, strict=True):
-                        out.append((order.prefix(tokens, k)[0] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls, pa.int64()), pa.array(size, pa.int32()), pa.array(sets, pa.list_(pa.int64())),
-                     *[pa.array(p, pa.list_(pa.int32())) for p in prefixes]], names,
-                )
-
-    chosen = join_by_size(docs, wanted, "doc_id", "left_semi")
-    kind = "cls long, n int, tokens array<long>, p1 array<int>, p2 array<int>"
-    return chosen.mapInArrow(run, kind).dropDuplicates(["cls"])
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes that share prefix tokens in every order and do link."""
-
-    def side(x: str) -> DataFrame:
-        return sets.select(*[F.col(c).alias(n) for c, n in zip(sets.columns, (x, f"n_{x}", f"t_{x}", f"p1_{x}", f"p2_{x}"), strict=True)])
-
-    common = F.size(F.array_intersect("t_a", "t_b"))
+
+def across_components(open_: DataFrame, percent: int) -> DataFrame:
+    """(hub, member): pairs of different components that pass all filters of the first order."""
+    other = open_.select("token", *[F.col(c).alias("o_" + c) for c in ("x", "doc_id", "root")])
+    n1, n2 = (F.pow(F.lit(2.0), _size(x) / SIZE_STEPS) for x in ("x", "o_x"))
     return (
-        pairs.join(side("a"), "a").join(side("b"), "b")
-        .filter(F.arrays_overlap("p1_a", "p1_b") & F.arrays_overlap("p2_a", "p2_b"))
-        .filter((100 + percent) * common >= percent * (F.col("n_a") + F.col("n_b")))
-        .select("a", "b")
+        open_.join(other, "token")
+        .filter((F.col("doc_id") < F.col("o_doc_id")) & (F.col("root") != F.col("o_root")))
+        .groupBy(F.col("doc_id").alias("hub"), F.col("o_doc_id").alias("member"))
+        .agg(
+            F.count("*").alias("common"), F.max(may_link("x", "o_x", percent)).alias("may"),
+            F.max(enough_shared(n1, n2, percent)).alias("least"),
+        )
+        .filter("may and common >= least").select("hub", "member")
     )
 
 
-def ordered(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+def linked(pairs: DataFrame, docs: DataFrame, levels, n: int, percent: int, label: str) -> DataFrame:
+    """Pairs (hub, member) of ids that share prefix tokens in every order and do link.
+
+    Texts are brought together at the hub, in parts of about ``PART`` members, the
+    hub's own text first, so a task keeps one set and streams the members.
+    """
+    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    placed = pairs.join(parts, "hub").select(
+        "hub", "member", F.pmod(F.xxhash64("member"), F.col("parts")).alias("part")
+    )
+    placed = stored(placed, f"{label}-parts")
+    hubs = placed.select("hub", "part").distinct()
+    roles = stored(
+        placed.select(F.col("member").alias("doc_id"), "hub", "part", F.lit(1).alias("role"))
+        .unionByName(hubs.select(F.col("hub").alias("doc_id"), "hub", "part", F.lit(0).alias("role"))),
+        f"{label}-roles",
+    )
+    together = (
+        join_by_size(docs, roles, "doc_id", "inner")
+        .select("hub", "part", "role", "doc_id", "text")
+        .repartition("hub", "part").sortWithinPartitions("hub", "part", "role")
+    )
+
+    def run(batches):
+        orders = [TokenOrder(levels.value, salt) for salt in ORDERS[1:]]
+        hub, own, heads = None, None, []
+        for batch in batches:
+            found = []
+            ids = zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 3)], byte_texts(batch.column(4)), strict=True)
+            for key, part, role, doc, text in ids:
+                tokens = shingles(text, n)
+                length = prefix_length(len(tokens), percent)
+                if role == 0:
+                    hub, own = (key, part), tokens
+                    heads = [o.prefix(own, length)[0] for o in orders]
+                    continue
+                if hub != (key, part):
+                    raise ValueError(f"no text of hub {key}")
+                shares = all(np.isin(o.prefix(tokens, length)[0], h).any() for o, h in zip(orders, heads, strict=True))
+                if shares:
+                    common = len(np.intersect1d(own, tokens, assume_unique=True))
+                    if (100 + percent) * common >= percent * (len(own) + len(tokens)):
+                        found.append((key, doc))
+            columns = list(zip(*found, strict=True)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+    return together.mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(
@@ -270,57 +327,42 @@ def jaccard_components(
 
     ``component_id`` is the smallest id reachable by links, the row's own included.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     known = docs.filter("doc_id is not null")
-    classed = stored(set_classes(docs, n), "jaccard-classes")
-    by_class = (
-        classed.filter("cls is not null and doc_id is not null")
-        .groupBy("cls", "n").agg(F.min("doc_id").alias("least"))
+    counted = stored(classes_and_counts(docs, n, sketch_bits), "jaccard-classes")
+    classed = counted.filter("chunk is null").select("doc_id", "n", "cls")
+    with_words = classed.filter("cls is not null and doc_id is not null")
+    heads = with_words.groupBy("cls", "n").agg(F.min("doc_id").alias("a"), F.count("*").alias("c")).filter("c > 1")
+    equal = stored(
+        with_words.join(heads, ["cls", "n"]).select("a", F.col("doc_id").alias("b")).filter("a <> b"), "jaccard-equal"
     )
-    levels = spark.sparkContext.broadcast(frequency_levels(known, n, sketch_bits))
-    shared = stored(shared_tokens(prefix_tokens(known, levels, n, percent)), "jaccard-shared")
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(counted, sketch_bits))
+    shared = stored(shared_tokens(prefix_rows(known, levels, n, percent)), "jaccard-shared")
 
-    to_lead = stored(
-        shared.filter(F.col("cls") != F.col("l")).filter(may_link("n", "i", "ln", "li", percent))
-        .select(*ordered("cls", "l")).distinct(),
-        "jaccard-leads",
-    )
-    involved = to_lead.select(F.col("a").alias("cls")).unionByName(to_lead.select(F.col("b").alias("cls"))).distinct()
-    wanted = stored(by_class.join(involved, "cls", "left_semi").select(F.col("least").alias("doc_id")), "jaccard-wanted")
-    sets = stored(class_sets(known, wanted, levels, n, percent), "jaccard-sets")
-    first = stored(verified(to_lead, sets, percent), "jaccard-links")
-    nodes = shared.select(F.col("cls").alias("node")).distinct()
-    groups = stored(components(nodes, first, "jaccard-first"), "jaccard-groups")
+    to_lead = stored(leads(shared, percent), "jaccard-leads")
+    first = stored(linked(to_lead, known, levels, n, percent, "jaccard-first"), "jaccard-links")
+    groups = stored(components(first.unionByName(equal), "jaccard-first"), "jaccard-groups")
 
     # Tokens whose members are still in several components.
-    placed = shared.join(groups.withColumnRenamed("node", "cls"), "cls").select("token", "cls", "n", "i", "root")
-    split = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
+    placed = join_by_size(shared.select("token", "x", "doc_id"), groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "doc_id"))
+    split = placed.groupBy("token").agg(F.min("root").alias("s"), F.max("root").alias("t")).filter("s <> t").select("token")
     open_ = stored(placed.join(split, "token", "left_semi"), "jaccard-open")
-    other = open_.select("token", *[F.col(c).alias("o_" + c) for c in ("cls", "n", "i", "root")])
-    rest = stored(
-        open_.join(other, "token")
-        .filter((F.col("cls") < F.col("o_cls")) & (F.col("root") != F.col("o_root")))
-        .filter(may_link("n", "i", "o_n", "o_i", percent))
-        .select(*ordered("cls", "o_cls")).distinct()
-        .join(to_lead, ["a", "b"], "left_anti"),
-        "jaccard-rest",
-    )
-    missing = (
-        rest.select(F.col("a").alias("cls")).unionByName(rest.select(F.col("b").alias("cls"))).distinct()
-        .join(sets.select("cls"), "cls", "left_anti")
+    rest = stored(across_components(open_, percent), "jaccard-rest")
+    second = linked(rest, known, levels, n, percent, "jaccard-second")
+    left = groups.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    right = groups.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    across = second.join(left, "a", "left").join(right, "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")
     )
-    wanted = stored(by_class.join(missing, "cls", "left_semi").select(F.col("least").alias("doc_id")), "jaccard-wanted")
-    more = stored(class_sets(known, wanted, levels, n, percent), "jaccard-sets")
-    second = verified(rest, sets.unionByName(more), percent)
-    links = stored(first.unionByName(second), "jaccard-links")
-
-    roots = components(by_class.select(F.col("cls").alias("node")), links, "jaccard-last")
-    root_of = roots.withColumnRenamed("node", "cls").join(by_class, "cls")
-    smallest = root_of.groupBy("root").agg(F.min("least").alias("component"))
-    named = stored(root_of.join(smallest, "root").select("cls", "component"), "jaccard-named")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return (
-        classed.join(named, "cls", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    joined = components(across, "jaccard-last").select(F.col("node").alias("_node"), F.col("root").alias("top"))
+    own = F.col("doc_id")
+    rooted = stored(
+        classed.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        .withColumn("root", F.coalesce("root", own))
+        .join(joined, F.col("root") == F.col("_node"), "left")
+        .select("doc_id", "n", F.coalesce("top", "root").alias("root")),
+        "jaccard-roots",
     )
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -32,14 +32,13 @@ def join_by_size(
     return big.join(small, key, how)
 
 
-def components(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
-    """(node, root) of the connected components; ``edges`` has long columns a, b.
+def components(edges: DataFrame, label: str) -> DataFrame:
+    """(node, root) of every node with an edge to another; ``edges`` has long columns a, b.
 
     Contraction: each node hooks to its neighbour of least hash where that is
     less than its own, hooked nodes are renamed, and edges inside a group go. A
     round is three aggregations or joins on the edges that are left, which shrink
     geometrically; each is a written table, so a lost executor costs one round.
-    Nodes without an edge are their own root.
     """
     rank = F.struct(F.xxhash64("b").alias("h"), F.col("b").alias("v"))
     own = F.struct(F.xxhash64("a").alias("h"), F.col("a").alias("v"))
@@ -68,5 +67,5 @@ def components(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
             f"{label}-edges",
         )
     if names is None:
-        return nodes.select("node", F.col("node").alias("root"))
-    return nodes.join(names, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return names
