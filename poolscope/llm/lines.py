@@ -82,15 +82,14 @@ def without_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = PAG
 
 def check_sql(ratio: float = RATIO, least: int = PAGES) -> str:
     """The same result in DuckDB's SQL."""
-    hidden = HIDDEN.replace("\\b", "\\b")
     return f"""
 WITH cut AS (
   SELECT page_id,
          nullif(lower(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
-         list_filter(list_transform(string_split(
+         [trim(x, ' ') FOR x IN string_split(
            regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-             coalesce(html, ''), '{hidden}', ' ', 'g'), '{BREAK}', chr(10), 'g'), '{TAG}', '', 'g'), '{BLANKS}', ' ', 'g'),
-           chr(10)), x -> trim(x, ' ')), x -> x <> '') AS lines
+             coalesce(html, ''), '{HIDDEN}', ' ', 'g'), '{BREAK}', chr(10), 'g'), '{TAG}', '', 'g'), '{BLANKS}', ' ', 'g'),
+           chr(10)) IF trim(x, ' ') <> ''] AS lines
   FROM pages),
 total AS (SELECT host, count(*) AS n FROM cut WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= {least}),
 seen AS (SELECT host, line, count(*) AS n FROM (
@@ -98,7 +97,7 @@ seen AS (SELECT host, line, count(*) AS n FROM (
 dropped AS (SELECT s.host, list(s.line) AS gone FROM seen s JOIN total t USING (host)
   WHERE s.n > {ratio} * t.n GROUP BY s.host),
 kept AS (SELECT page_id, c.host, lines,
-  list_filter(lines, x -> NOT list_contains(coalesce(gone, []), x)) AS stay
+  [x FOR x IN lines IF NOT list_contains(coalesce(gone, []), x)] AS stay
   FROM cut c LEFT JOIN dropped d ON c.host = d.host)
 SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(stay) AS n_dropped,
        coalesce(array_to_string(stay, chr(10)), '') AS text

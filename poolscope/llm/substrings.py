@@ -27,8 +27,6 @@ ignored.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,7 +87,7 @@ def spans(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def window_hashes(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(window, doc_id, start) of the windows in the wanted ranges (doc_id, ranges)."""
+    """(window, doc_id, start) of the windows that start in the wanted ranges (doc_id, ranges)."""
     names = ["window", "doc_id", "start"]
 
     def run(batches):
@@ -98,8 +96,8 @@ def window_hashes(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             columns = batch.column(0).to_pylist(), byte_texts(batch.column(1)), batch.column(2).to_pylist()
             for doc, text, ranges in zip(*columns, strict=True):
                 every = windows(prefix_hash(word_hashes((text or b"").split())), window)
-                starts = np.unique(np.concatenate([np.arange(r["lo"], r["hi"] + 1) for r in ranges]))
-                starts = starts[starts < len(every)]
+                lo, hi = ranges[::2], ranges[1::2]
+                starts = np.concatenate([np.arange(a, min(b, len(every))) for a, b in zip(lo, hi, strict=True)])
                 held.append((signed(every[starts]), np.full(len(starts), doc, np.int64), starts.astype(np.int32)))
                 rows += len(starts)
                 if rows >= ROWS:
@@ -108,18 +106,40 @@ def window_hashes(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names)
 
-    return join_by_size(docs, wanted, "doc_id", "inner").select("doc_id", "text", "ranges").mapInArrow(
+    return join_by_size(docs, wanted, "doc_id", "inner", "ranges").select("doc_id", "text", "ranges").mapInArrow(
         run, "window long, doc_id long, start int"
     )
 
 
-def as_ranges(rows: DataFrame) -> DataFrame:
-    """One row per document; its ranges are bounded by its own length."""
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+def as_ranges(rows: DataFrame, width: int) -> DataFrame:
+    """(doc_id, ranges): the stretches [lo, hi + width) of a document, merged where they touch.
+
+    ``ranges`` holds start, stop, start, stop, ... One document's stretches are
+    bounded by its own length.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for lo, hi in zip(batch.column(1), batch.column(2), strict=True):
+                start = lo.values.to_numpy()
+                order = np.argsort(start, kind="stable")
+                start, stop = start[order], np.maximum.accumulate(hi.values.to_numpy()[order] + width)
+                new = np.concatenate(([True], start[1:] > stop[:-1]))
+                first = np.flatnonzero(new)
+                last = np.concatenate((first[1:], [len(start)])) - 1
+                out.append(np.column_stack((start[first], stop[last])).ravel().astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ranges"]
+            )
+
+    # Both lists come in the order of the rows, so they belong together.
+    both = rows.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+    return both.select("doc_id", "r.lo", "r.hi").mapInArrow(run, "doc_id long, ranges array<int>")
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, ranges): window starts of the document that repeat an earlier one."""
+    """(doc_id, ranges): the words of the document covered by windows that repeat an earlier one."""
     docs = docs.select("doc_id", "text").filter("doc_id is not null")
     found = stored(spans(docs, window, gram), "substrings-spans")
     seeds = (
@@ -135,7 +155,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     open_ = (
         placed.filter("doc_id = least").join(several, "anchor", "left_semi").select("doc_id", "lo", "hi")
     )
-    wanted = stored(as_ranges(open_), "substrings-open")
+    wanted = stored(as_ranges(open_, 1), "substrings-open")
     hashed = stored(window_hashes(docs, wanted, window), "substrings-windows")
     least = (
         hashed.groupBy("window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
@@ -145,23 +165,13 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         hashed.join(least, "window").filter("doc_id > least")
         .select("doc_id", F.col("start").alias("lo"), F.col("start").alias("hi"))
     )
-    return as_ranges(whole.unionByName(single))
-
-
-def covered(ranges: list[dict], words: int, window: int) -> np.ndarray:
-    """Mask of the words inside the windows; overlapping and touching windows merge."""
-    edge = np.zeros(words + 1, np.int64)
-    lo = np.fromiter((r["lo"] for r in ranges), np.int64, len(ranges)).clip(0, words)
-    hi = np.fromiter((r["hi"] + window for r in ranges), np.int64, len(ranges)).clip(0, words)
-    np.add.at(edge, lo, 1)
-    np.add.at(edge, hi, -1)
-    return edge.cumsum()[:words] > 0
+    return as_ranges(whole.unionByName(single), window)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row; ``kept`` is the text that stays."""
     ranges = stored(repeated_ranges(docs, window, gram), "substrings-ranges")
-    joined = join_by_size(docs.select("doc_id", "text"), ranges, "doc_id", "left")
+    joined = join_by_size(docs.select("doc_id", "text"), ranges, "doc_id", "left", "ranges")
 
     def run(batches):
         for batch in batches:
@@ -172,8 +182,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                     own = (text or b"").split()
                     words.append(len(own))
                     if ranges:
-                        gone = covered(ranges, len(own), window)
-                        own = [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
+                        edges = [0, *ranges, len(own)]
+                        own = [w for a, b in zip(edges[::2], edges[1::2], strict=True) for w in own[a:b]]
                     removed.append(words[-1] - len(own))
                     kept.append(b" ".join(own))
                 yield pa.RecordBatch.from_arrays(

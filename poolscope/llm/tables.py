@@ -9,8 +9,8 @@ from poolscope.plans.storage import fresh_path, stored
 
 __all__ = ["components", "fresh_path", "held_out", "join_by_size", "stored"]
 
-#: Rows of an id table that may be broadcast (16 bytes each in a hash relation).
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table that may be broadcast, at 32 a row and 8 an element of its array.
+BROADCAST_BYTES = 32 << 20
 
 
 def held_out(doc_id: str, parts: int, part: int) -> Column:
@@ -20,16 +20,16 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
 
 
 def join_by_size(
-    big: DataFrame, small: DataFrame, key: str, how: str, rows: int = BROADCAST_ROWS
+    big: DataFrame, small: DataFrame, key: str, how: str, array: str | None = None, most: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Join a written table on ``key``, shipping it only when its row count is below ``rows``.
+    """Join a stored table on ``key``, shipping it only when it takes less than ``most`` bytes.
 
-    ``small`` must be cheap to count (a stored table). Larger ones are joined by
-    shuffling both sides.
+    Its rows, and the elements of its one ``array`` column if it has any, are counted
+    first. Larger tables are joined by shuffling both sides.
     """
-    if small.limit(rows + 1).count() <= rows:
-        small = F.broadcast(small)
-    return big.join(small, key, how)
+    elements = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
+    size = small.agg((32 * F.count("*") + 8 * elements).alias("bytes")).first().bytes
+    return big.join(F.broadcast(small) if size <= most else small, key, how)
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
