@@ -14,10 +14,11 @@ words plus 1 for an unseen one. The product is normalised over all words.
 
 Model. Log-bilinear: context vectors, weighed by position and dimension, add up to a
 prediction; its products with the class vectors, plus a bias that starts at the log
-frequency, are the scores. Every training document takes part in both rounds: tasks
-run gradient steps from the same start on their own documents (every
-``STRIDES[round]``-th position), against noise drawn from the class frequencies, and
-the results are averaged by positions, as an aggregation over parameter numbers.
+frequency, are the scores. In each round, tasks run gradient steps from the same start
+on their own part of all training documents (every ``STRIDES[round]``-th stretch of
+``STRETCH`` tokens of each, from a random one on) against noise drawn from the class
+frequencies; the results are averaged by positions, as an aggregation over parameter
+numbers. So what is gathered and learnt from grows with the documents.
 
 Scoring. Batches of contexts times the class matrix, with the full normaliser.
 
@@ -48,9 +49,10 @@ CONTEXT = 3
 SIZE = 24
 NOISE = 64
 RATIO = 16
-BATCH = 1024
-STRIDES = (8, 4)
-RATES = (0.2, 0.1)
+BATCH = 256
+STRIDES = (16, 8)
+STRETCH = 64
+RATES = (0.3, 0.15)
 HELD_WORDS = 300_000
 
 CLASSES = OWN + ENDINGS + 1
@@ -206,8 +208,8 @@ class LogBilinear:
         own = self.predicted(before)
         data = (own * self.target[token]).sum(axis=1) + self.bias[token] - offset[token]
         false = own @ self.target[noise].T + self.bias[noise] - offset[noise]
-        up = (1 / (1 + np.exp(data))).astype(np.float32)
-        down = (RATIO / NOISE / (1 + np.exp(-false))).astype(np.float32)
+        up = (1 / (1 + np.exp(data.clip(-30, 30)))).astype(np.float32)
+        down = (RATIO / NOISE / (1 + np.exp(-false.clip(-30, 30)))).astype(np.float32)
         slope = up[:, None] * self.target[token] - down @ self.target[noise]
         hot = np.zeros((n, CLASSES), np.float32)
         hot[np.arange(n), token] = up
@@ -234,6 +236,16 @@ def contexts(classes: np.ndarray) -> np.ndarray:
     return np.stack([padded[CONTEXT - 1 - j : len(padded) - 1 - j] for j in range(CONTEXT)], axis=1)
 
 
+def stretch(words: list[bytes], start: int, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and classes of the tokens from ``start`` on, STRETCH at most; the end token is the last."""
+    lo, stop = max(0, start - CONTEXT), start + STRETCH
+    part = words[lo:stop]
+    classes = known.token_classes(part, known.find(word_hashes(part)))
+    if stop <= len(words):
+        classes = classes[:-1]
+    return contexts(classes)[start - lo :], classes[start - lo :]
+
+
 def trained(docs: DataFrame, words, model: LogBilinear, stride: int, rate: float) -> LogBilinear:
     """One round: tasks train from ``model`` on their documents, results are averaged."""
     spark = docs.sparkSession
@@ -256,12 +268,13 @@ def trained(docs: DataFrame, words, model: LogBilinear, stride: int, rate: float
         for batch in batches:
             for text in byte_texts(batch.column(1)):
                 split = split_words(text)
-                classes = known.token_classes(split, known.find(word_hashes(split)))
-                first = int(rng.integers(stride))
-                before.append(contexts(classes)[first::stride])
-                token.append(classes[first::stride])
-                held += len(token[-1])
-                if held >= 32 * BATCH:
+                first = int(rng.integers(stride)) * STRETCH
+                for at in range(first, len(split) + 1, stride * STRETCH):
+                    around, classes = stretch(split, at, known)
+                    before.append(around)
+                    token.append(classes)
+                    held += len(classes)
+                if held >= 128 * BATCH:
                     learn()
                     before, token, seen, held = [], [], seen + held, 0
         if held:
