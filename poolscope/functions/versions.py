@@ -21,14 +21,23 @@ SHORT, MEDIUM = 3, 9
 LENGTH_MARKS = "".join(chr(0x100 + n) for n in range(MEDIUM))
 LENGTH_CODES = "".join(chr(48 + n) for n in range(MEDIUM))
 NO_EPOCH = "00"
-MAX_DIGITS = 26
+# Lengths up to this have one character; longer ones follow a mark above all of those.
+LONGEST_MARK = 160
+LONGER = 255
 WELL_FORMED = "^([0-9]+:)?[A-Za-z0-9.+~-]+$"
 
 
 def _number(digits: Column) -> Column:
-    """Digits without leading zeros behind a one-character length prefix."""
+    """Digits without leading zeros behind a mark of their length."""
     bare = F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.lit("0"))
-    return F.concat(F.char(F.length(bare) + 47), bare)
+    return F.concat(_length_mark(F.length(bare)), bare)
+
+
+def _length_mark(length: Column) -> Column:
+    """Text that sorts by length; no number of digits is too long."""
+    return F.when(length <= LONGEST_MARK, F.char(length + 47)).otherwise(
+        F.concat(F.char(F.lit(LONGER)), F.lpad(length.cast("string"), 10, "0"))
+    )
 
 
 def _body_key(body: Column) -> Column:
@@ -78,7 +87,7 @@ def _zipped_lengths(held: Column) -> Column:
         lambda word, number: F.concat(
             word,
             F.coalesce(
-                F.concat(F.lit(END), F.char(F.length(number) + 47), number), F.lit("")
+                F.concat(F.lit(END), _length_mark(F.length(number)), number), F.lit("")
             ),
         ),
     )
@@ -88,8 +97,7 @@ def _zipped_lengths(held: Column) -> Column:
 def version_key(version: Column, strict: bool = False) -> Column:
     """Text key whose byte order is version order; null stays null.
 
-    ``strict`` gives null for malformed versions and for digit runs longer than
-    the supported length, so such rows can be set aside.
+    ``strict`` gives null for malformed versions, so such rows can be set aside.
     """
     colon = F.instr(version, ":")
     epoch = F.substring_index(version, ":", 1)
@@ -99,8 +107,7 @@ def version_key(version: Column, strict: bool = False) -> Column:
         _body_key(version.substr(colon + 1, F.length(version))),
     )
     if strict:
-        too_long = version.rlike("(?<![0-9])0*[1-9][0-9]{%d}" % MAX_DIGITS)
-        key = F.when(version.rlike(WELL_FORMED) & ~too_long, key)
+        key = F.when(version.rlike(WELL_FORMED), key)
     return key
 
 

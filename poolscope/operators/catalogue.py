@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolscope.functions.relations import atom_parts
+from poolscope.functions.relations import atom_fields
 from poolscope.functions.sonames import dotted_prefixes
 from poolscope.functions.versions import full_version, version_key
 from poolscope.schemas import PACKAGE_KEY
@@ -105,15 +105,14 @@ def dependency_atoms(dependencies: DataFrame, latest: DataFrame) -> DataFrame:
         (F.col("_pos") + 1).alias("nr"),
         F.explode(F.split("_part", r"\|", -1)).alias("_atom"),
     )
-    name, arch, relop, version = atom_parts(F.col("_atom"))
-    return atoms.select(
+    return atoms.withColumn("_cut", atom_fields(F.col("_atom"))).select(
         *PACKAGE_KEY,
         "relationship",
         "nr",
-        name.alias("deppkg"),
-        arch.alias("deparch"),
-        relop.alias("relop"),
-        version.alias("depver"),
+        F.col("_cut.name").alias("deppkg"),
+        F.col("_cut.archqual").alias("deparch"),
+        F.col("_cut.relop").alias("relop"),
+        F.col("_cut.version").alias("depver"),
     ).withColumn("depvk", version_key(F.col("depver")))
 
 

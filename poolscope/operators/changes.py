@@ -179,7 +179,9 @@ def upsert_dependencies(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def register_repos(repos: DataFrame, seen: DataFrame) -> DataFrame:
     """Known repositories plus unseen ones."""
-    fresh = seen.dropDuplicates(["name"]).join(repos.select("name"), "name", "left_anti")
+    rest = [c for c in seen.columns if c != "name"]
+    one = seen.groupBy("name").agg(F.min(F.struct(*rest)).alias("_least")).select("name", "_least.*")
+    fresh = one.join(repos.select("name"), "name", "left_anti")
     return repos.unionByName(fresh.select(*repos.columns))
 
 
@@ -215,5 +217,10 @@ def purge_repos(
     return dict(kept, repos=repos.join(paths, "path", "left_anti"))
 
 
+def malformed_versions(packages: DataFrame) -> DataFrame:
+    """Rows set aside because their version has no key; they never count as latest."""
+    return packages.filter(F.col("vk").isNull())
+
+
 def with_version_key(packages: DataFrame, strict: bool = True) -> DataFrame:
     return packages.withColumn("vk", version_key(F.col("version"), strict))

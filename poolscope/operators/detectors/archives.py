@@ -6,6 +6,9 @@ examined (see ``poolscope.operators.lifecycle.changed_since``).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ from poolscope.schemas import PACKAGE_KEY
 # Fixed values of the file rules.
 SMALL_FILE_LIMIT = 10485760
 MAINTAINER_PATTERN = "^.+ <.+@.+>$"
-TOP_DIRECTORIES = "^(bin|boot|etc|lib|opt|run|sbin|srv|usr|var)/?.*"
+TOP_DIRECTORIES = ("bin", "boot", "etc", "lib", "opt", "run", "sbin", "srv", "usr", "var")
 EMPTY_BY_CONVENTION = (
     "NEWS", "ChangeLog", "INSTALL", "TODO", "COPYING", "AUTHORS",
     "README", "README.md", "README.txt", "empty", "placeholder", "placeholder.txt",
@@ -109,7 +112,7 @@ def detect_321(files: DataFrame, latest: DataFrame, exempt: tuple[str, ...] = ()
     """Regular files outside the allowed top-level directories."""
     path = F.col("path")
     rule = (F.col("ftype") == "reg") & (
-        (path == "usr/local") | ~path.rlike(TOP_DIRECTORIES)
+        (path == "usr/local") | ~reduce(or_, (path.startswith(d) for d in TOP_DIRECTORIES))
     )
     if exempt:
         rule = rule & ~F.col("package").isin(*exempt)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,24 @@ from poolscope.schemas import ISSUE_KEY, PACKAGE_KEY
 # Always re-examined, and always recomputed from scratch.
 ALWAYS_TOUCHED = (401, 402, 411, 431)
 ALWAYS_PURGED = (301, 402, 412)
+OVER_ALL_ROWS = (101, 102, 103, *ALWAYS_TOUCHED)
+
+
+@dataclass(frozen=True)
+class Scope:
+    """What a run examined: numbers over all rows, and numbers over changed packages only.
+
+    Issues outside it are kept as they are, whatever the findings.
+    """
+
+    whole: frozenset[int] = frozenset()
+    changed: frozenset[int] = frozenset()
+
+    @staticmethod
+    def of(numbers: Iterable[int]) -> Scope:
+        """The scope of an analysis with these detectors."""
+        whole = frozenset(numbers) & frozenset(OVER_ALL_ROWS)
+        return Scope(whole, frozenset(numbers) - whole)
 
 
 def purge_stale(
@@ -60,16 +81,26 @@ def _always_touched() -> Column:
     return (F.col("errno") < 200) | F.col("errno").isin(*ALWAYS_TOUCHED)
 
 
-def with_touched(issues: DataFrame, changed: DataFrame) -> DataFrame:
-    """Add ``touched``: the issue is subject to this run."""
+def with_touched(issues: DataFrame, changed: DataFrame, scope: Scope | None = None) -> DataFrame:
+    """Add ``touched``: the issue is subject to this run (all detectors without ``scope``)."""
     keys = changed.select(*PACKAGE_KEY).distinct().withColumn("_changed", F.lit(True))
-    return issues.join(keys, PACKAGE_KEY, "left").withColumn(
-        "touched", F.coalesce("_changed", F.lit(False)) | _always_touched()
-    ).drop("_changed")
+    hit = F.coalesce("_changed", F.lit(False))
+    if scope is None:
+        touched = hit | _always_touched()
+    else:
+        touched = F.col("errno").isin(*scope.whole) | (hit & F.col("errno").isin(*scope.changed))
+    return issues.join(keys, PACKAGE_KEY, "left").withColumn("touched", touched).drop("_changed")
+
+
+def touched(issues: DataFrame, changed: DataFrame, scope: Scope | None = None) -> DataFrame:
+    return with_touched(issues, changed, scope).filter("touched").drop("touched")
 
 
-def touched(issues: DataFrame, changed: DataFrame) -> DataFrame:
-    return with_touched(issues, changed).filter("touched").drop("touched")
+def one_per_key(found: DataFrame) -> DataFrame:
+    """Findings with equal keys as one: the least level, then the least detail."""
+    least = F.min(F.struct("level", "detail")).alias("_least")
+    one = found.groupBy(*ISSUE_KEY).agg(least)
+    return one.select(*ISSUE_KEY, "_least.level", "_least.detail").select(*found.columns)
 
 
 def _same_key(left: str, right: str) -> Column:
@@ -94,15 +125,15 @@ def refresh(touched_issues: DataFrame, now: Column) -> DataFrame:
 
 
 def merge_actions(
-    issues: DataFrame, found: DataFrame, changed: DataFrame, now: Column
+    issues: DataFrame, found: DataFrame, changed: DataFrame, now: Column, scope: Scope | None = None
 ) -> DataFrame:
     """Every issue after the run with what happened to it.
 
     ``action`` is insert, update, refresh, keep or retire; retired rows are still
     present. One full outer join on the natural key, which is unique per side.
     """
-    left = _prefixed(with_touched(issues, changed), "i_").withColumn("_old", F.lit(True))
-    right = _prefixed(found.dropDuplicates(ISSUE_KEY), "f_").withColumn("_new", F.lit(True))
+    left = _prefixed(with_touched(issues, changed, scope), "i_").withColumn("_old", F.lit(True))
+    right = _prefixed(one_per_key(found), "f_").withColumn("_new", F.lit(True))
     both = left.join(right, _same_key("i_", "f_"), "full_outer")
     old, new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
     same = F.col("i_level").eqNullSafe(F.col("f_level")) & F.col("i_detail").eqNullSafe(
@@ -137,15 +168,15 @@ def merge_actions(
 
 
 def merge_issues(
-    issues: DataFrame, found: DataFrame, changed: DataFrame, now: Column
+    issues: DataFrame, found: DataFrame, changed: DataFrame, now: Column, scope: Scope | None = None
 ) -> DataFrame:
     """The issue table after the run."""
-    return merge_actions(issues, found, changed, now).filter("action <> 'retire'").drop("action")
+    return merge_actions(issues, found, changed, now, scope).filter("action <> 'retire'").drop("action")
 
 
 def update_changed(issues: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     """Issues whose level or detail changed, with the new values."""
-    new = _prefixed(found.dropDuplicates(ISSUE_KEY), "f_")
+    new = _prefixed(one_per_key(found), "f_")
     same = F.col("level").eqNullSafe(F.col("f_level")) & F.col("detail").eqNullSafe(F.col("f_detail"))
     return (
         issues.join(new, _same_key("", "f_"))
@@ -161,7 +192,7 @@ def insert_new(issues: DataFrame, found: DataFrame, now: Column) -> DataFrame:
     """Findings that are not yet an issue, as issue rows."""
     known = _prefixed(issues.select(*ISSUE_KEY), "i_")
     now = now.cast(issues.schema["atime"].dataType)
-    fresh = found.dropDuplicates(ISSUE_KEY).join(known, _same_key("", "i_"), "left_anti")
+    fresh = one_per_key(found).join(known, _same_key("", "i_"), "left_anti")
     for c in ("ctime", "mtime", "atime"):
         fresh = fresh.withColumn(c, now)
     return fresh.select(*issues.columns)

@@ -126,12 +126,15 @@ def analyze(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(issues, statistics, findings) of one run.
 
-    Findings are written once; the merge and the statistics read them back.
+    Findings are written once; the merge and the statistics read them back. With
+    ``which`` only issues of those detectors can be retired.
     """
     views = derive(t, full)
+    which = options.get("which")
+    scope = None if which is None else lifecycle.Scope.of(which)
     found = stored(detect_all(t, views, core_tree, **options), "findings")
     issues = stored(
-        lifecycle.merge_issues(views.issues, found, views.changed_packages, now), "issues"
+        lifecycle.merge_issues(views.issues, found, views.changed_packages, now, scope), "issues"
     )
     stats = lifecycle.issue_stats(
         issues, views.latest, t.sources, t.source_versions, t.tree_branches

@@ -7,15 +7,18 @@ output and reads the state of the batches before it.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StringType, StructField, StructType
 
 from poolscope.functions.versions import total_order
 from poolscope.operators.changes import classify_changes, published_changes
-from poolscope.operators.lifecycle import merge_issues
+from poolscope.operators.lifecycle import Scope, merge_actions
+from poolscope.schemas import ISSUE_KEY, PACKAGE_KEY
 
 STATE = "package string, repo string, version string"
 COMPACT_EVERY = 20
@@ -66,24 +69,50 @@ def stream_changes(
     )
 
 
+def issues_after(spark, issues: DataFrame, target: str, batch: int, compact_every: int) -> DataFrame:
+    """The issue table after a batch: the last whole state and the later deltas.
+
+    The newest row of a key counts; retired ones are gone. Before the first batch it
+    is ``issues``.
+    """
+    if batch < 0:
+        return issues
+    first = batch // compact_every * compact_every
+    kind = StructType([*issues.schema.fields, StructField("action", StringType())])
+    parts = [
+        spark.read.schema(kind).parquet(f"{target}/issues/batch={b}").withColumn("_batch", F.lit(b))
+        for b in range(first, batch + 1)
+    ]
+    rows = reduce(DataFrame.unionByName, parts)
+    newest = F.max_by(F.struct(*issues.columns, "action"), "_batch").alias("_row")
+    return (
+        rows.groupBy(*ISSUE_KEY).agg(newest).select("_row.*").filter("action <> 'retire'").drop("action")
+    )
+
+
 def stream_snapshot_merge(
     packages: DataFrame, issues: DataFrame, detect: Callable[[DataFrame], DataFrame],
-    now: Callable[[int], Column], target: str,
+    now: Callable[[int], Column], target: str, examined: Iterable[int],
+    compact_every: int = COMPACT_EVERY,
 ) -> StreamingQuery:
     """Incremental analysis: merge the findings on each batch of changed packages.
 
-    ``detect`` gives the findings on the arrived rows; ``now`` the time of a batch.
-    The issue table after batch N is at ``target/issues/batch=N``.
+    ``detect`` gives the findings on the arrived rows for the numbers ``examined``;
+    only issues of those packages and numbers can be refreshed or retired. A batch
+    writes what happened to them, every ``compact_every``-th batch the whole table
+    (see ``issues_after``). ``now`` gives the time of a batch.
     """
-    kind = issues.schema
+    scope = Scope(changed=frozenset(examined))
 
     def one_batch(rows: DataFrame, batch: int) -> None:
-        before = issues if batch == 0 else rows.sparkSession.read.schema(kind).parquet(
-            f"{target}/issues/batch={batch - 1}"
-        )
-        merge_issues(before, detect(rows), rows, now(batch)).write.mode("overwrite").parquet(
-            f"{target}/issues/batch={batch}"
-        )
+        spark = rows.sparkSession
+        before = issues_after(spark, issues, target, batch - 1, compact_every)
+        here = before.join(rows.select(*PACKAGE_KEY).distinct(), PACKAGE_KEY, "left_semi")
+        delta = merge_actions(here, detect(rows), rows, now(batch), scope)
+        if batch % compact_every == 0:
+            rest = before.join(rows.select(*PACKAGE_KEY).distinct(), PACKAGE_KEY, "left_anti")
+            delta = delta.unionByName(rest.withColumn("action", F.lit("keep")))
+        delta.write.mode("overwrite").parquet(f"{target}/issues/batch={batch}")
 
     return (
         packages.writeStream.foreachBatch(one_batch)
