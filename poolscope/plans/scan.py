@@ -42,7 +42,8 @@ def scan(
 
     Files that vanished or were replaced leave packages and duplicates together
     with all rows of their package. A version found twice keeps its newest file,
-    the others become duplicates.
+    the others become duplicates. ``promoted`` of the result names duplicates that
+    became packages: their content is that of the file before until they are read.
     """
     columns = [f.split()[0] for f in DDL["packages"].split(", ")]
     known = tables["packages"].select(*columns).unionByName(tables["duplicates"].select(*columns))
@@ -51,11 +52,6 @@ def scan(
 
     gone = known.join(left, "filename")
     dropped_packages = tables["packages"].join(left.select("filename"), "filename", "left_semi")
-    kept = {
-        name: df.join(dropped_packages.select(*PACKAGE_KEY), PACKAGE_KEY, "left_anti")
-        for name, df in tables.items()
-        if name in OWNED
-    }
     kept_files = known.join(left.select("filename"), "filename", "left_anti")
 
     replaced = left.filter("status = 'replaced'").select("filename", F.lit(True).alias("replaced"))
@@ -71,6 +67,13 @@ def scan(
     packages, duplicates = changes.resolve_duplicates(
         stored(kept_files.unionByName(read.select(*columns)), "scanned-files")
     )
+    # A duplicate takes the place of the dropped file of its version; the version's rows
+    # stay until the promoted file is read.
+    promoted = packages.join(tables["duplicates"].select("filename"), "filename", "left_semi").join(
+        read.select("filename"), "filename", "left_anti"
+    )
+    lost = dropped_packages.select(*PACKAGE_KEY).join(promoted.select(*PACKAGE_KEY), PACKAGE_KEY, "left_anti")
+    kept = {name: tables[name].join(lost, PACKAGE_KEY, "left_anti") for name in OWNED}
     # The content of a version belongs to the file that stays.
     fresh = packages.join(read.select("filename"), "filename", "left_semi").select(*PACKAGE_KEY)
     content = {
@@ -91,6 +94,7 @@ def scan(
             "packages": packages,
             "duplicates": duplicates,
             **content,
+            "promoted": promoted.select("filename"),
         },
         events,
     )

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from poolscope.operators import changes as ch
-from poolscope.streaming.changes import stream_changes, stream_snapshot_merge
+from poolscope.streaming.changes import issues_after, stream_changes, stream_snapshot_merge
 from test_versions import compare
 
 ARRIVAL = "package string, repo string, seq int, version string, branch string, component string, architecture string, debtime int"
@@ -69,11 +69,11 @@ def test_stream_snapshot_merge(spark, make, tmp_path):
     for _ in range(2):
         stream = spark.readStream.schema(packages.schema).parquet(source)
         stream_snapshot_merge(stream, make("issues", []), detect, lambda b: F.lit(f"2020-01-0{b + 1}").cast("timestamp"),
-                              str(tmp_path / "out")).awaitTermination()
+                              str(tmp_path / "out"), examined={301}).awaitTermination()
         packages.withColumn("debtime", F.lit(1).cast("bigint")).write.mode("append").parquet(source)
     first = spark.read.parquet(str(tmp_path / "out/issues/batch=0"))
-    second = spark.read.parquet(str(tmp_path / "out/issues/batch=1"))
-    assert rows(first, "package", "errno") == [("a", 301)] and second.isEmpty()
+    second = issues_after(spark, make("issues", []), str(tmp_path / "out"), 1, 20)
+    assert rows(first, "package", "errno", "action") == [("a", 301, "insert")] and second.isEmpty()
 
 
 def test_inventory_upkeep(spark, make):

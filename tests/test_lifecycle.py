@@ -41,6 +41,40 @@ def test_merge_actions_and_idempotence(make, spark):
     assert rows(lc.update_changed(issues, found, now()), "package") == [("late",), ("newdetail",)]
 
 
+def test_scope_and_repeated_keys(make, spark):
+    issues = make("issues", [issue("a", n) for n in (101, 302, 411)] + [issue("b", 302), issue("c", 431)])
+    changed = make("packages", [{"package": p, "version": "1", "repo": "r"} for p in ("a", "c")])
+    none = make("issues", []).select("package", "version", "repo", "errno", "level", "filename", "detail")
+    scope = lc.Scope(whole=frozenset({411}), changed=frozenset({302, 431}))
+    assert rows(lc.merge_issues(issues, none, changed, now(), scope), "package", "errno") == [("a", 101), ("b", 302)]
+    assert rows(lc.merge_issues(issues, none, changed, now(), lc.Scope()), "package", "errno") == rows(issues, "package", "errno")
+    twice = make("issues", [issue("n", level=1, detail="z"), issue("n", level=1, detail="a"), issue("n", level=2)]).select(none.columns)
+    for parts in (1, 3):
+        got = lc.merge_issues(issues, twice.repartition(parts), changed, now(), scope).filter("package = 'n'")
+        assert rows(got, "level", "detail") == [(1, "a")]
+        assert rows(lc.insert_new(issues, twice.repartition(parts), now()), "level", "detail") == [(1, "a")]
+
+
+def test_stream_merges_within_its_scope(make, spark, tmp_path):
+    from poolscope.schemas import schema
+    from poolscope.streaming.changes import issues_after, stream_snapshot_merge
+
+    start = make("issues", [issue("p1"), issue("p1", 411), issue("p3"), issue("other", 431), issue("other")])
+    source = tmp_path / "in"
+    for n in range(5):
+        make("packages", [{"package": f"p{n}", "version": "1", "repo": "r", "size": n}]).coalesce(1).write.mode("append").parquet(str(source))
+    arrivals = spark.readStream.schema(schema("packages")).option("maxFilesPerTrigger", 1).parquet(str(source))
+
+    def detect(rows_):
+        return rows_.filter("size > 2").select("package", "version", "repo", F.lit(302).alias("errno"), F.lit(0).alias("level"),
+                                               F.lit("f").alias("filename"), F.lit("{}").alias("detail"))
+
+    target = str(tmp_path / "out")
+    stream_snapshot_merge(arrivals, start, detect, lambda n: now(), target, examined={302}, compact_every=2).awaitTermination()
+    after = issues_after(spark, start, target, 4, 2)
+    assert rows(after, "package", "errno") == [("other", 302), ("other", 431), ("p1", 411), ("p3", 302), ("p4", 302)]
+
+
 def test_changed_since_and_purge(make):
     packages = make("packages", [{"package": p, "version": "1", "repo": "r", "mtime": m} for p, m in (("a", 0), ("b", 1577836800))])
     assert rows(lc.changed_since(packages, make("issues", [])), "package") == [("a",), ("b",)]

@@ -1,3 +1,6 @@
+import datetime as dt
+import hashlib
+
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -44,12 +47,52 @@ def test_scan_twice_then_release(spark, make, tmp_path):
     assert rows(tables["packages"], "filename") == [("a1copy",), ("b1",)]
     assert rows(tables["duplicates"], "filename") == [("a1",)]
     assert rows(tables["files"], "name") == [("a1copy",), ("b1",)]
+    # The kept file of version 1 goes: its duplicate takes over with the rows known so far.
+    tables, events = arrive(spark, make, tables, [file("b", "2", "b2")], [("a1", 10, 1), ("b1", 10, 1), ("b2", 10, 1)])
+    assert rows(tables["packages"], "filename") == [("a1",), ("b1",), ("b2",)]
+    assert rows(tables["promoted"], "filename") == [("a1",)]
+    assert rows(tables["files"], "name") == [("a1copy",), ("b1",), ("b2",)]
     conf = spark.createDataFrame([("stable", "o", "l", "c", "d", 2, 1)],
                                  "branch string, origin string, label string, codename string, desc string, ttl int, renew_in int")
     published = spark.createDataFrame([], "branch string, released bigint, valid_until bigint")
     text = release(spark, tables, conf, published, now(), str(tmp_path / "dists")).first().manifest
-    assert "Architectures: amd64\nComponents: main\nSHA256:\n " in text and "main/amd64/part-" in text
-    assert spark.read.text(str(tmp_path / "dists/contents")).count() == 2
+    assert "Architectures: amd64\nComponents: main\nSHA256:\n " in text
+    listed = [line.split() for line in text.split("SHA256:\n")[1].splitlines()]
+    assert [n for _, _, n in listed] == [
+        "main/Contents-amd64-00000", "main/Contents-amd64-00000.gz", "main/binary-all/Packages",
+        "main/binary-amd64/Packages-00000", "main/binary-amd64/Packages-00000.gz"]
+    for folder, name in (("packages", listed[3]), ("contents", listed[0])):
+        (part,) = (tmp_path / "dists" / folder / "plain").rglob("part-*.txt")
+        assert name[0] == hashlib.sha256(part.read_bytes()).hexdigest() and int(name[1]) == part.stat().st_size
+    assert spark.read.text(str(tmp_path / "dists/contents/plain")).count() == 3
+
+
+def test_release_keeps_fresh_branches(spark, make, tmp_path):
+    def tables(items, times):
+        repos = [{"name": f"amd64/{b}", "realname": "amd64", "architecture": "amd64", "component": "main", "testing": 0, "path": f"{b}/main",
+                  "branch": b, "mtime": t} for b, t in times]
+        return {"repos": make("repos", repos), "packages": with_version_key(make("packages", items)), "dependencies": make("dependencies", []),
+                "files": make("files", [])}
+
+    def published(folder, branch):
+        return sorted((str(p.relative_to(folder)), p.read_bytes()) for p in folder.rglob("part-*") if f"branch={branch}" in str(p))
+
+    conf = spark.createDataFrame([(b, "o", "l", "c", "d", 2, 1) for b in ("stable", "testing")],
+                                 "branch string, origin string, label string, codename string, desc string, ttl int, renew_in int")
+    early, late = dt.datetime(2020, 12, 1), dt.datetime(2020, 12, 30)
+    none = spark.createDataFrame([], "branch string, released bigint, valid_until bigint")
+    items = [{**file("a", "1", f"a-{b}"), "repo": f"amd64/{b}"} for b in ("stable", "testing")]
+    target = tmp_path / "dists"
+    first = release(spark, tables(items, [("stable", early), ("testing", early)]), conf, none, now(), str(target))
+    assert rows(first, "branch") == [("stable",), ("testing",)]
+    before = published(target, "stable")
+    # A second run in which only testing is stale, and has lost its package.
+    done = spark.createDataFrame([("stable", 1608000000, 1700000000), ("testing", 1608000000, 1700000000)], none.schema)
+    second = release(spark, tables(items[:1], [("stable", early), ("testing", late)]), conf, done, now(), str(target))
+    assert rows(second, "branch") == [("testing",)] and published(target, "stable") == before and before
+    assert published(target, "testing") == []
+    again = release(spark, tables(items[:1], [("stable", early), ("testing", late)]), conf, done, now(), str(target), force=True)
+    assert rows(again, "branch") == [("stable",), ("testing",)]
 
 
 def catalogue(make, packages, issues):
@@ -74,3 +117,12 @@ def test_incremental_run_equals_full_run(make):
     assert rows(step.filter("package <> 'b'"), *key) == rows(full.filter("package <> 'b'"), *key)
     assert rows(full, "package", "errno") == [("a", 303), ("b", 301), ("b", 303), ("c", 303)]
     assert not stats.isEmpty()
+
+
+def test_partial_run_keeps_foreign_issues(make):
+    others = make("issues", [dict(package="b", version="1", repo="amd64/stable", errno=n, level=0, filename="x", ctime=dt.datetime(2030, 1, 1),
+                                  mtime=dt.datetime(2030, 1, 1), atime=dt.datetime(2030, 1, 1), detail=None) for n in (411, 431, 303)])
+    left, _, _ = an.analyze(catalogue(make, [file("b", "1", "x")], others), now(), "core", which={302})
+    assert rows(left, "errno") == [(303,), (411,), (431,)]
+    all_, _, _ = an.analyze(catalogue(make, [file("b", "1", "x")], others), now(), "core")
+    assert rows(all_, "errno") == [(303,)]
