@@ -21,8 +21,9 @@ SHORT, MEDIUM = 3, 9
 LENGTH_MARKS = "".join(chr(0x100 + n) for n in range(MEDIUM))
 LENGTH_CODES = "".join(chr(48 + n) for n in range(MEDIUM))
 NO_EPOCH = "00"
-# Lengths up to this have one character; longer ones follow a mark above all of those.
-LONGEST_MARK = 160
+# Lengths up to this have one character, below the placeholders; longer ones follow a
+# mark above those characters and outside the placeholders.
+LONGEST_MARK = 100
 LONGER = 255
 WELL_FORMED = "^([0-9]+:)?[A-Za-z0-9.+~-]+$"
 

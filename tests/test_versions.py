@@ -107,7 +107,7 @@ def test_strict(spark):
 
 
 def test_runs_of_any_length(spark):
-    lengths = (1, 3, 4, 9, 10, 27, 81, 160, 161, 209, 220, 300, 4000)
+    lengths = (1, 3, 4, 9, 10, 27, 81, 100, 101, 113, 114, 160, 170, 171, 209, 220, 300, 4000)
     texts = [lead + "1" + "0" * (n - 1) for n in lengths for lead in ("", "a", "1.b", "2-0")] + ["9" * n for n in lengths]
     got = dict(zip(texts, keys(spark, texts, True)))
     ordered = sorted(texts, key=cmp_to_key(compare))
