@@ -23,6 +23,7 @@ text. Repeated rows: one entry each. Empty table: no rows. A text that alone exc
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from poolscope.llm.words import byte_texts
 
 END = 1
 BLOCK = 1 << 16
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 REMEMBERED_BYTES = 48
 
 FORMAT = (
@@ -99,20 +100,47 @@ class Encoder:
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
+
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not remembered.
+
+        A word is cut where the tokenizer cuts it for certain, between a letter or
+        digit and the points and commas at its end, and A-Z is lower-cased as it does;
+        words with "<" are left alone, as they may name a special token.
+        """
+        cut = {}
+        for w in words:
+            core = w.rstrip(b".,")
+            if b"<" in w or not core[-1:].isalnum():
+                cut[w] = (w, b"")
+            else:
+                cut[w] = (core.lower(), w[len(core) :])
+        known = self.known
+        new = list({part for pair in cut.values() for part in pair if part and part not in known})
+        table = dict(zip(new, self._encode(new), strict=True))
+        table[b""] = b""
+        found = {}
+        for w, (core, tail) in cut.items():
+            head = known[core] if core in known else table[core]
+            found[w] = head + (known[tail] if tail in known else table[tail]) if tail else head
+        self._remember(table)
+        return found
+
+    def _remember(self, table: dict[bytes, bytes]) -> None:
+        room = REMEMBERED - len(self.known)
+        if room > 0:
+            short = [(w, i) for w, i in table.items() if len(w) <= REMEMBERED_BYTES]
+            self.known.update(short[:room])
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         if not self.by_word:
             return self._encode([t or b"" for t in texts])
         split = [(t or b"").split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        table = dict(zip(new, self._encode(new), strict=True))
         known = self.known
+        table = self._encode_words(list({w for words in split for w in words if w not in known}))
         out = [b"".join([known[w] if w in known else table[w] for w in words]) for words in split]
-        room = REMEMBERED - len(known)
-        if room > 0:
-            short = [(w, i) for w, i in table.items() if len(w) <= REMEMBERED_BYTES]
-            known.update(short[:room])
+        self._remember(table)
         return out
 
 
