@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from poolscope.llm import (
     decontamination, jaccard, language_model, lines, mixing, neighbours, quality, substrings, toxicity,
 )
+from poolscope.llm.checks import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,4 +77,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": lines.check_sql()}
+    return dict(ORACLE_SQL)
