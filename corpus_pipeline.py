@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from poolscope.llm import decontamination, jaccard, mixing, quality, tokens
 from poolscope.llm.tables import fresh_path, join_by_size, stored
+from poolscope.llm.workers import reachable
 
 TOKENIZER = "word_bpe_49k.json"
 VOCABULARY = 49_408
@@ -70,12 +71,18 @@ def written_digests(docs: DataFrame) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _ready(stage: Stage) -> Stage:
+    return lambda spark, docs, sf_dir: stage(reachable(spark), docs, sf_dir)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality classifier", quality_stage),
-    ("n-gram Jaccard join", jaccard_stage),
-    ("benchmark decontamination", decontamination_stage),
-    ("mixing sources to target weights", mixing_stage),
-    ("token-ID / binary output", token_stage),
+    ("quality classifier", _ready(quality_stage)),
+    ("n-gram Jaccard join", _ready(jaccard_stage)),
+    ("benchmark decontamination", _ready(decontamination_stage)),
+    ("mixing sources to target weights", _ready(mixing_stage)),
+    ("token-ID / binary output", _ready(token_stage)),
 ]
 
 #: The classifier and the near copies have no SQL form; tests compare with brute force.

@@ -10,6 +10,7 @@ from poolscope.llm import (
     decontamination, jaccard, language_model, lines, mixing, neighbours, quality, substrings, toxicity,
 )
 from poolscope.llm.checks import ORACLE_SQL
+from poolscope.llm.workers import reachable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,12 +69,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _ready(query: Query) -> Query:
+    return lambda spark, sf_dir: query(reachable(spark), sf_dir)
+
+
 def queries() -> dict[str, Query]:
     named = (
         op1_source_mixing, op2_jaccard_join, op3_substring_dedup, op4_nearest_neighbours, op5_line_dedup,
         op6_toxicity, op7_quality, op8_decontamination, op9_language_model, op10_token_file, pipeline,
     )
-    return {q.__name__: q for q in named}
+    return {q.__name__: _ready(q) for q in named}
 
 
 def oracle_sql() -> dict[str, str]:
