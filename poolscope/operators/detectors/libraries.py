@@ -102,10 +102,11 @@ def satisfied_edges(source_deps: DataFrame, source_packages: DataFrame) -> DataF
 
 
 def dependency_closure(
-    edges: DataFrame, breaks: DataFrame, max_rounds: int | None = None
+    edges: DataFrame, breaks: DataFrame, max_rounds: int | None = None, users: DataFrame | None = None
 ) -> DataFrame:
     """All (package, dependency) reached from the users in ``breaks``.
 
+    With ``users`` (package) only from those of them; the other users are not followed.
     ``sodep`` marks pairs that are themselves soname breaks; nothing is followed
     beyond those. Each round joins only the newly found pairs, keeps those not
     seen before, and is written to the shared folder, so a lost executor costs at
@@ -113,13 +114,13 @@ def dependency_closure(
     """
     spark = edges.sparkSession
     edges = stored(edges.select("package", "dependency").distinct(), "closure-edges")
-    flags = stored(
-        break_pairs(breaks).select(
-            F.col("dep_package").alias("package"), F.col("package").alias("dependency"),
-            F.lit(True).alias("sodep"),
-        ),
-        "closure-flags",
+    flags = break_pairs(breaks).select(
+        F.col("dep_package").alias("package"), F.col("package").alias("dependency"),
+        F.lit(True).alias("sodep"),
     )
+    if users is not None:
+        flags = flags.join(users.select("package").distinct(), "package", "left_semi")
+    flags = stored(flags, "closure-flags")
     users = flags.select("package").distinct()
 
     def flagged(pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from poolscope.operators import catalogue, lifecycle
 from poolscope.operators.detectors import (
@@ -86,7 +87,10 @@ def detect_all(
     def closure() -> DataFrame:
         current = catalogue.source_packages(t.sources, t.trees, t.source_versions)
         edges = libraries.satisfied_edges(t.source_deps, current)
-        return libraries.dependency_closure(edges, v.breaks)
+        # 432 reads the closure of changed users outside the core tree only.
+        outside = t.sources.filter(F.col("tree") != core_tree).select(F.col("name").alias("package"))
+        users = changed.select("package").join(outside, "package", "left_semi")
+        return libraries.dependency_closure(edges, v.breaks, users=users)
 
     detectors = {
         101: lambda: sources.detect_101(*scripts),
