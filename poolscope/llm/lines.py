@@ -8,8 +8,9 @@ of the page stays in order.
 Distinct lines of a page are cut and hashed where the page is read, and counted
 with partial aggregation, so a hot host or line is summed up before the shuffle. A
 host has fewer than (mean lines per page) / RATIO boilerplate lines, so its list is
-short however many pages it has; the pages are joined with that list on the host,
-a join whose hot partitions Spark can split.
+short however many pages it has. The lists are written and sent to all tasks while
+they are small, so pages are not shuffled; beyond that size pages are joined with
+them on the host, a join whose hot partitions Spark can split.
 
 Lines: tags that end a block, and line ends, end a line; scripts, styles and comments
 and all other tags are taken out; blanks inside a line become one space; empty lines
@@ -25,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poolscope.llm.tables import join_by_size, stored
+
 RATIO = 0.3
 PAGES = 3
 
@@ -49,7 +52,7 @@ def visible_lines(html: Column) -> Column:
 
 
 def boilerplate(lines: DataFrame, ratio: float, pages: int) -> DataFrame:
-    """(site, drop): hashes of the boilerplate lines of each host that has some."""
+    """(host, drop): hashes of the boilerplate lines of each host that has some."""
     on_site = lines.filter("host is not null")
     totals = on_site.groupBy("host").agg(F.count("*").alias("total")).filter(F.col("total") >= pages)
     counts = (
@@ -58,19 +61,19 @@ def boilerplate(lines: DataFrame, ratio: float, pages: int) -> DataFrame:
     )
     return (
         counts.join(totals, "host").filter(F.col("pages") > ratio * F.col("total"))
-        .groupBy(F.col("host").alias("site")).agg(F.collect_list("line").alias("drop"))
+        .groupBy("host").agg(F.collect_list("line").alias("drop"))
     )
 
 
 def without_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = PAGES) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text) of every page."""
     lines = pages.select("page_id", host_of(F.col("url")).alias("host"), visible_lines(F.col("html")).alias("lines"))
-    drop = boilerplate(lines, ratio, least)
+    drop = stored(boilerplate(lines, ratio, least), "lines-boilerplate")
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.array_contains("drop", F.xxhash64(x)))
     )
     return (
-        lines.join(drop, F.col("host") == F.col("site"), "left")
+        join_by_size(lines, drop, "host", "left", "drop")
         .withColumn("kept", kept)
         .select(
             "page_id", "host", F.size("lines").cast("long").alias("n_lines"),
