@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolscope.llm.labelled import FOLDS, SAMPLE, labelled_sample
-from poolscope.llm.tables import held_out
+from poolscope.llm.tables import held_out, stored
 from poolscope.llm.words import byte_texts, word_hashes
 
 BITS = 18
@@ -84,29 +84,23 @@ class Model:
 
 
 def fit(
-    docs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, bits: int = BITS, least: int = LEAST,
-    sure: float = SURE, steps: int = STEPS, rate: float = RATE,
+    docs: list[tuple[np.ndarray, np.ndarray]], counts: np.ndarray, y: np.ndarray, share: float, bits: int = BITS,
+    steps: int = STEPS, rate: float = RATE,
 ) -> Model:
-    """Train on (sentence, word) arrays and labels of documents (AdaGrad, whole batch)."""
-    size = 1 << bits
-    sentences = sum(int(s[-1]) + 1 for s, _ in docs if len(s))
-    share = float(y.mean()) if len(y) else 0.0
+    """Train on labels and (sentence, word) arrays of the words that get a weight (AdaGrad, whole batch).
+
+    ``counts`` has the number of sentences of each document, ``share`` that of toxic ones.
+    """
+    size, sentences = 1 << bits, int(counts.sum())
     offset = float(np.log(max(share, 1e-3) * max(len(y), 1) / max(sentences, 1) + 1e-9))
     weights = np.zeros(size)
     if not len(y) or share in (0.0, 1.0):
         return Model(weights, offset, bits)
-    every = [np.unique(w) for _, w in docs]
-    spread = np.bincount(np.concatenate(every), minlength=size)
-    toxic = np.bincount(np.concatenate([w for w, t in zip(every, y, strict=True) if t == 1]), minlength=size)
-    error = np.sqrt(spread * share * (1 - share))
-    known = (spread >= least) & (toxic - spread * share > sure * error)
-    # Keep the words that count, numbering sentences through all documents.
-    counts = np.array([int(s[-1]) + 1 if len(s) else 0 for s, _ in docs])
+    # Sentences are numbered through all documents.
     base = np.concatenate(([0], np.cumsum(counts)))
     owner = np.repeat(np.arange(len(docs)), counts)
     sentence = np.concatenate([s + b for (s, _), b in zip(docs, base, strict=False)])
     word = np.concatenate([w for _, w in docs])
-    sentence, word = sentence[known[word]], word[known[word]]
     squares, offset_square = np.full(size, 1e-8), 1e-8
     for _ in range(steps):
         z = (np.bincount(sentence, weights[word], minlength=sentences) + offset).clip(-50, 50)
@@ -116,32 +110,78 @@ def fit(
         by_z = by_u[owner] / (1 + np.exp(-z))
         slope = np.bincount(word, by_z[sentence], minlength=size)
         squares += slope**2
-        weights -= rate * slope / np.sqrt(squares) * known
+        weights -= rate * slope / np.sqrt(squares)
         offset_slope = by_z.sum()
         offset_square += offset_slope**2
         offset -= 0.1 * rate * offset_slope / np.sqrt(offset_square)
     return Model(weights, offset, bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, folds: int = FOLDS) -> Model:
-    """Fit on the labelled sample; texts become hashed words before they leave the tasks."""
-    rows = labelled_sample(docs, labels, "toxic", sample, folds)
+def telling_words(rows: DataFrame, bits: int, least: int, sure: float) -> tuple[np.ndarray, float]:
+    """Mask of the hashed words and stems that get a weight, and the share of toxic documents.
+
+    Tasks count documents per hashed word; their counts are added up by Spark, at most
+    one row per weight.
+    """
+    size = 1 << bits
 
     def run(batches):
+        seen, toxic, total = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            found = [sentence_words(t, bits) for t in byte_texts(batch.column(1))]
+            for text, y in zip(byte_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                words = np.unique(sentence_words(text, bits)[1])
+                seen[words] += 1
+                toxic[words] += y == 1
+                total += (1, y == 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.append(at, -1)), pa.array(np.append(seen[at], total[0])), pa.array(np.append(toxic[at], total[1]))],
+            ["word", "seen", "toxic"],
+        )
+
+    counted = rows.mapInArrow(run, "word long, seen long, toxic long").groupBy("word")
+    got = counted.agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).toArrow()
+    word, seen, toxic = (got[c].to_numpy() for c in ("word", "seen", "toxic"))
+    known = np.zeros(size, bool)
+    docs, bad = int(seen[word == -1].sum()), int(toxic[word == -1].sum())
+    share = bad / docs if docs else 0.0
+    error = np.sqrt(seen * share * (1 - share))
+    chosen = (word >= 0) & (seen >= least) & (toxic - seen * share > sure * error)
+    known[word[chosen]] = True
+    return known, share
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, folds: int = FOLDS, least: int = LEAST,
+    sure: float = SURE,
+) -> Model:
+    """Fit on the labelled sample; of its texts only the words with a weight leave the tasks."""
+    rows = stored(labelled_sample(docs, labels, "toxic", sample, folds), "toxicity-sample")
+    known, share = telling_words(rows, bits, least, sure)
+    kept = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        for batch in batches:
+            counts, sentences, words = [], [], []
+            for text in byte_texts(batch.column(1)):
+                sentence, word = sentence_words(text, bits)
+                hit = kept.value[word]
+                counts.append(int(sentence[-1]) + 1 if len(sentence) else 0)
+                sentences.append(sentence[hit].astype(np.int32))
+                words.append(word[hit].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([s.astype(np.int32) for s, _ in found], pa.list_(pa.int32())),
-                 pa.array([w.astype(np.int32) for _, w in found], pa.list_(pa.int32()))],
-                ["doc_id", "y", "sentence", "word"],
+                [batch.column(0), batch.column(2), pa.array(counts, pa.int32()),
+                 pa.array(sentences, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.int32()))],
+                ["doc_id", "y", "n", "sentence", "word"],
             )
 
-    got = rows.mapInArrow(run, "doc_id long, y int, sentence array<int>, word array<int>").toArrow().sort_by("doc_id")
+    kind = "doc_id long, y int, n int, sentence array<int>, word array<int>"
+    got = rows.mapInArrow(run, kind).toArrow().sort_by("doc_id")
     pairs = [
         (np.asarray(s.values.to_numpy(), np.int64), np.asarray(w.values.to_numpy(), np.int64))
         for s, w in zip(got["sentence"], got["word"], strict=True)
     ]
-    return fit(pairs, got["y"].to_numpy(), bits)
+    return fit(pairs, got["n"].to_numpy(), got["y"].to_numpy(), share, bits)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, cut: float = 0.5, **options) -> DataFrame:
