@@ -3,7 +3,9 @@
 Pages are grouped by host. A line counts once per page; its ratio is the number of
 the host's pages that contain it divided by all pages of the host. Lines above
 ``RATIO`` on hosts with at least ``PAGES`` pages are boilerplate and go; the rest
-of the page stays in order.
+of the page stays in order. On a host of three pages one page is above the ratio, so
+lines of a single page go too; ``copies=2`` keeps every line that is on fewer than
+two pages of its host. The default is the rule that ``check_sql`` states.
 
 Distinct lines of a page are cut and hashed where the page is read, and counted
 with partial aggregation, so a hot host or line is summed up before the shuffle. A
@@ -30,6 +32,7 @@ from poolscope.llm.tables import join_by_size, stored
 
 RATIO = 0.3
 PAGES = 3
+COPIES = 1
 
 HIDDEN = "(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->"
 BREAK = "(?i)</?(?:p|div|br|hr|li|ul|ol|nav|header|footer|article|section|aside|main|h[1-6]|table|tr|td|th|title|head|body|html|pre|blockquote|form)\\b[^>]*>|[\\r\\n]+"
@@ -51,7 +54,7 @@ def visible_lines(html: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def boilerplate(lines: DataFrame, ratio: float, pages: int) -> DataFrame:
+def boilerplate(lines: DataFrame, ratio: float, pages: int, copies: int) -> DataFrame:
     """(host, drop): hashes of the boilerplate lines of each host that has some."""
     on_site = lines.filter("host is not null")
     totals = on_site.groupBy("host").agg(F.count("*").alias("total")).filter(F.col("total") >= pages)
@@ -60,15 +63,17 @@ def boilerplate(lines: DataFrame, ratio: float, pages: int) -> DataFrame:
         .groupBy("host", "line").agg(F.count("*").alias("pages"))
     )
     return (
-        counts.join(totals, "host").filter(F.col("pages") > ratio * F.col("total"))
+        counts.join(totals, "host").filter((F.col("pages") > ratio * F.col("total")) & (F.col("pages") >= copies))
         .groupBy("host").agg(F.collect_list("line").alias("drop"))
     )
 
 
-def without_boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = PAGES) -> DataFrame:
+def without_boilerplate(
+    pages: DataFrame, ratio: float = RATIO, least: int = PAGES, copies: int = COPIES
+) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text) of every page."""
     lines = pages.select("page_id", host_of(F.col("url")).alias("host"), visible_lines(F.col("html")).alias("lines"))
-    drop = stored(boilerplate(lines, ratio, least), "lines-boilerplate")
+    drop = stored(boilerplate(lines, ratio, least, copies), "lines-boilerplate")
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.array_contains("drop", F.xxhash64(x)))
     )
