@@ -14,11 +14,12 @@ words plus 1 for an unseen one. The product is normalised over all words.
 
 Model. Log-bilinear: context vectors, weighed by position and dimension, add up to a
 prediction; its products with the class vectors, plus a bias that starts at the log
-frequency, are the scores. In each round, tasks run gradient steps from the same start
-on their own part of all training documents (every ``STRIDES[round]``-th stretch of
-``STRETCH`` tokens of each, from a random one on) against noise drawn from the class
-frequencies; the results are averaged by positions, as an aggregation over parameter
-numbers. So what is gathered and learnt from grows with the documents.
+frequency, are the scores. Texts are cut and looked up once and written as class
+numbers. The training documents are dealt over the rounds by row number, so every
+token of every training document is learnt from in exactly one. In each round, tasks
+run gradient steps from the same start on their own part of its documents against
+noise drawn from the class frequencies; the results are averaged by positions, as an
+aggregation over parameter numbers.
 
 Scoring. Batches of contexts times the class matrix, with the full normaliser.
 
@@ -49,11 +50,10 @@ CONTEXT = 3
 SIZE = 24
 NOISE = 64
 RATIO = 16
-BATCH = 256
-STRIDES = (16, 8)
-STRETCH = 64
+BATCH = 1024
 RATES = (0.3, 0.15)
 HELD_WORDS = 300_000
+HELD_TOKENS = 1 << 15
 
 CLASSES = OWN + ENDINGS + 1
 END = CLASSES - 1
@@ -175,6 +175,9 @@ class LogBilinear:
         self.target = rng.normal(0, 0.1, (CLASSES, SIZE)).astype(np.float32)
         self.bias = np.log(share).astype(np.float32)
         self.share = share
+        self.learnt = 0
+        self.drawn = np.cumsum(share)
+        self.offset = np.log(RATIO * share).astype(np.float32)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in (self.context, self.position, self.target, self.bias)])
@@ -191,38 +194,45 @@ class LogBilinear:
 
     def log10(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each class after its context."""
+        codes = before.astype(np.int64) @ (CLASSES ** np.arange(CONTEXT))
+        # The normaliser is worked out once for equal contexts.
+        _, first, place = np.unique(codes, return_index=True, return_inverse=True)
+        own, total = self.predicted(before[first]), np.empty(len(first))
+        for lo in range(0, len(first), 512):
+            scores = own[lo : lo + 512] @ self.target.T
+            scores += self.bias
+            top = scores.max(axis=1)
+            scores -= top[:, None]
+            total[lo : lo + 512] = top + np.log(np.exp(scores, out=scores).sum(axis=1))
         out = np.empty(len(token))
         for lo in range(0, len(token), 4096):
-            part = slice(lo, lo + 4096)
-            scores = self.predicted(before[part]) @ self.target.T + self.bias
-            top = scores.max(axis=1)
-            total = np.log(np.exp(scores - top[:, None]).sum(axis=1))
-            out[part] = scores[np.arange(len(scores)), token[part]] - top - total
+            at, to = place[lo : lo + 4096], token[lo : lo + 4096]
+            out[lo : lo + 4096] = np.einsum("ij,ij->i", own.take(at, axis=0), self.target.take(to, axis=0)) + self.bias[to] - total[at]
         return out / np.log(10)
 
     def step(self, before: np.ndarray, token: np.ndarray, rng: np.random.Generator, rate: float) -> None:
         """One gradient step of noise-contrastive estimation; the noise is shared by the batch."""
         n = len(token)
-        noise = rng.choice(CLASSES, NOISE, p=self.share)
-        offset = np.log(RATIO * self.share).astype(np.float32)
-        own = self.predicted(before)
-        data = (own * self.target[token]).sum(axis=1) + self.bias[token] - offset[token]
-        false = own @ self.target[noise].T + self.bias[noise] - offset[noise]
-        up = (1 / (1 + np.exp(data.clip(-30, 30)))).astype(np.float32)
-        down = (RATIO / NOISE / (1 + np.exp(-false.clip(-30, 30)))).astype(np.float32)
-        slope = up[:, None] * self.target[token] - down @ self.target[noise]
-        hot = np.zeros((n, CLASSES), np.float32)
-        hot[np.arange(n), token] = up
-        target, bias = hot.T @ own, hot.sum(axis=0)
+        noise = np.searchsorted(self.drawn, rng.random(NOISE), "right").clip(0, CLASSES - 1)
+        parts = [self.context.take(before[:, j], axis=0) for j in range(CONTEXT)]
+        own = sum(p * w for p, w in zip(parts, self.position, strict=True))
+        true, false = self.target.take(token, axis=0), self.target[noise]
+        data = np.einsum("ij,ij->i", own, true) + self.bias[token] - self.offset[token]
+        other = own @ false.T
+        other += self.bias[noise] - self.offset[noise]
+        up = 1 / (1 + np.exp(data.clip(-30, 30)))
+        down = np.exp(-other.clip(-30, 30, out=other))
+        down += 1
+        np.divide(np.float32(RATIO / NOISE), down, out=down)
+        slope = up[:, None] * true - down @ false
+        target, bias = by_class(token, own * up[:, None]), np.bincount(token, up, CLASSES).astype(np.float32)
         np.subtract.at(target, noise, down.T @ own)
         np.subtract.at(bias, noise, down.sum(axis=0))
         context = np.zeros_like(self.context)
         position = np.empty_like(self.position)
         for j in range(CONTEXT):
-            at = np.zeros((n, CLASSES), np.float32)
-            at[np.arange(n), before[:, j]] = 1
-            context += at.T @ (slope * self.position[j])
-            position[j] = (slope * self.context[before[:, j]]).sum(axis=0)
+            context += by_class(before[:, j], slope * self.position[j])
+            position[j] = np.einsum("ij,ij->j", slope, parts[j])
         step = rate * 16 / n
         self.target += step * target
         self.bias += step * bias
@@ -230,29 +240,72 @@ class LogBilinear:
         self.position += step * position / CONTEXT
 
 
+def by_class(classes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows of each class."""
+    order = np.argsort(classes, kind="stable")
+    counts = np.bincount(classes, minlength=CLASSES)
+    held = np.flatnonzero(counts)
+    out = np.zeros((CLASSES, rows.shape[1]), np.float32)
+    out[held] = np.add.reduceat(rows.take(order, axis=0), np.cumsum(counts)[held] - counts[held])
+    return out
+
+
 def contexts(classes: np.ndarray) -> np.ndarray:
     """The classes before each token, the nearest first; ends stand before a text."""
     padded = np.concatenate([np.full(CONTEXT, END, np.int16), classes])
     return np.stack([padded[CONTEXT - 1 - j : len(padded) - 1 - j] for j in range(CONTEXT)], axis=1)
 
 
-def stretch(words: list[bytes], start: int, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and classes of the tokens from ``start`` on, STRETCH at most; the end token is the last."""
-    lo, stop = max(0, start - CONTEXT), start + STRETCH
-    part = words[lo:stop]
-    classes = known.token_classes(part, known.find(word_hashes(part)))
-    if stop <= len(words):
-        classes = classes[:-1]
-    return contexts(classes)[start - lo :], classes[start - lo :]
+ROWS = "row long, doc_id long, n_tokens long, n_known long, base double, inside double, classes binary, word long, times long"
+SCORED = "row long, doc_id long, n_tokens long, n_known long, base double, score double"
 
 
-def trained(docs: DataFrame, words, model: LogBilinear, stride: int, rate: float) -> LogBilinear:
-    """One round: tasks train from ``model`` on their documents, results are averaged."""
-    spark = docs.sparkSession
+def looked_up(docs: DataFrame, words) -> DataFrame:
+    """A row per document with its class numbers, and one per word the vocabulary does not hold."""
+    names = [x.split()[0] for x in ROWS.split(", ")]
+    kinds = (*[pa.int64()] * 4, *[pa.float64()] * 2, pa.binary(), pa.int64(), pa.int64())
+
+    def run(batches):
+        known = words.value
+        row = TaskContext.get().partitionId() << 33
+        ends = np.log10(known.texts + 1.0)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                piece = batch.slice(lo, 200)
+                out = []
+                for doc, text in zip(piece.column(0).to_pylist(), byte_texts(piece.column(1)), strict=True):
+                    split = split_words(text)
+                    hashes = word_hashes(split)
+                    at = known.find(hashes)
+                    classes = known.token_classes(split, at)
+                    held = at >= 0
+                    logs = float(known.logs[at[held]].sum()) + ends
+                    inside = logs - float(known.sums[classes].sum())
+                    n = len(split) + 1
+                    seen = int(held.sum()) + (known.texts > 0)
+                    out.append((row, doc, n, seen, logs - n * known.base, inside, classes.astype(np.uint8).tobytes(), None, None))
+                    if not held.all():
+                        rare, times = np.unique(hashes[~held], return_counts=True)
+                        rare = rare.view(np.int64).tolist()
+                        out += [(row, *[None] * 6, w, t) for w, t in zip(rare, times.tolist(), strict=True)]
+                    row += 1
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return docs.mapInArrow(run, ROWS)
+
+
+def class_numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).astype(np.int16)
+
+
+def trained(rows: DataFrame, model: LogBilinear, rate: float) -> LogBilinear:
+    """One round: tasks train from ``model`` on all tokens of their rows, results are averaged."""
+    spark = rows.sparkSession
     start = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        own, known = LogBilinear(start.value.share), words.value
+        own = LogBilinear(start.value.share)
         own.put(start.value.flat())
         rng = np.random.default_rng(TaskContext.get().partitionId())
         before, token, held, seen = [], [], 0, 0
@@ -266,15 +319,12 @@ def trained(docs: DataFrame, words, model: LogBilinear, stride: int, rate: float
                 own.step(b[some], t[some], rng, rate * len(some) / BATCH)
 
         for batch in batches:
-            for text in byte_texts(batch.column(1)):
-                split = split_words(text)
-                first = int(rng.integers(stride)) * STRETCH
-                for at in range(first, len(split) + 1, stride * STRETCH):
-                    around, classes = stretch(split, at, known)
-                    before.append(around)
-                    token.append(classes)
-                    held += len(classes)
-                if held >= 128 * BATCH:
+            for data in batch.column(0):
+                classes = class_numbers(data.as_py())
+                before.append(contexts(classes))
+                token.append(classes)
+                held += len(classes)
+                if held >= HELD_TOKENS:
                     learn()
                     before, token, seen, held = [], [], seen + held, 0
         if held:
@@ -287,20 +337,23 @@ def trained(docs: DataFrame, words, model: LogBilinear, stride: int, rate: float
                 ["i", "x", "n"],
             )
 
-    rows = docs.select("doc_id", "text").mapInArrow(run, "i int, x double, n long")
-    got = rows.groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toArrow()
+    got = (
+        rows.select("classes").mapInArrow(run, "i int, x double, n long")
+        .groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toArrow()
+    )
     out = LogBilinear(model.share)
     out.put(model.flat())
     if got.num_rows:
         flat = model.flat().astype(np.float64)
         flat[got["i"].to_numpy()] = got["x"].to_numpy() / got["n"].to_numpy()
         out.put(flat)
+        out.learnt = got["n"][0].as_py()
     return out
 
 
 def scores(
     docs: DataFrame, parts: int = PARTS, part: int = HELD_OUT, frequent: int = FREQUENT,
-    strides: tuple[int, ...] = STRIDES, rates: tuple[float, ...] = RATES,
+    rates: tuple[float, ...] = RATES,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     spark = docs.sparkSession
@@ -308,58 +361,35 @@ def scores(
     learnt = learnt_from(docs, parts, part)
     counts = stored(word_counts(learnt), "language-counts")
     found, share = vocabulary(counts, learnt.count(), frequent)
-    words = spark.sparkContext.broadcast(found)
+    rows = stored(looked_up(docs, spark.sparkContext.broadcast(found)), "language-classes")
+    texts = rows.filter("word is null")
     model = LogBilinear(share)
-    for stride, rate in zip(strides, rates, strict=True):
-        model = trained(learnt, words, model, stride, rate)
+    for turn, rate in enumerate(rates):
+        mine = learnt_from(texts, parts, part).filter(F.col("row") % len(rates) == turn)
+        model = trained(mine, model, rate)
     final = spark.sparkContext.broadcast(model)
-    names = ["row", "doc_id", "n_tokens", "n_known", "base", "score", "word", "times"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
 
     def run(batches):
-        known, net = words.value, final.value
-        row = TaskContext.get().partitionId() << 33
-        ends = np.log10(known.texts + 1.0)
+        net = final.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 piece = batch.slice(lo, 200)
-                out, rare, before, token, sizes = [], [], [], [], []
-                for doc, text in zip(piece.column(0).to_pylist(), byte_texts(piece.column(1)), strict=True):
-                    split = split_words(text)
-                    hashes = word_hashes(split)
-                    at = known.find(hashes)
-                    classes = known.token_classes(split, at)
-                    held = at >= 0
-                    logs = float(known.logs[at[held]].sum()) + ends
-                    inside = logs - float(known.sums[classes].sum())
-                    n = len(split) + 1
-                    out.append((row, doc, n, int(held.sum()) + (known.texts > 0), logs - n * known.base, inside))
-                    if not held.all():
-                        words_, times = np.unique(hashes[~held], return_counts=True)
-                        rare += [(row, w, t) for w, t in zip(words_.view(np.int64).tolist(), times.tolist(), strict=True)]
-                    before.append(contexts(classes))
-                    token.append(classes)
-                    sizes.append(n)
-                    row += 1
-                logs = net.log10(np.concatenate(before), np.concatenate(token))
-                sums = np.add.reduceat(logs, np.concatenate(([0], np.cumsum(sizes)[:-1])))
-                rows = [(*r[:5], r[5] + s, None, None) for r, s in zip(out, sums.tolist(), strict=True)]
-                rows += [(r, None, None, None, None, None, w, t) for r, w, t in rare]
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                token = [class_numbers(x.as_py()) for x in piece.column(6)]
+                logs = net.log10(np.concatenate([contexts(t) for t in token]), np.concatenate(token))
+                sums = np.add.reduceat(logs, np.cumsum([0, *map(len, token[:-1])]))
+                score = piece.column(5).to_numpy() + sums
+                yield pa.RecordBatch.from_arrays(
+                    [*piece.columns[:5], pa.array(score)], [x.split()[0] for x in SCORED.split(", ")]
+                )
 
-    schema = (
-        "row long, doc_id long, n_tokens long, n_known long, base double, score double, word long, times long"
-    )
-    got = stored(docs.mapInArrow(run, schema), "language-scores")
-    asked = got.filter("word is not null").select("row", "word", "times")
     late = (
-        asked.join(counts.select("word", "c"), "word")
+        rows.filter("word is not null").select("row", "word", "times").join(counts.select("word", "c"), "word")
         .groupBy("row").agg(
             F.sum("times").alias("late"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("logs")
         )
     )
-    return got.filter("word is null").join(late, "row", "left").select(
+    given = texts.drop("word", "times").mapInArrow(run, SCORED)
+    return given.join(late, "row", "left").select(
         "doc_id", held_out("doc_id", parts, part).alias("held_out"), "n_tokens",
         (F.col("n_known") + F.coalesce("late", F.lit(0))).alias("n_known"),
         F.lit(found.tokens).cast("long").alias("train_tokens"),

@@ -113,6 +113,14 @@ def test_language_model_without_rows(documents):
     assert (got.n_tokens, got.n_known, got.train_tokens, got.base_score) == (3, 0, 0, 0.0)
 
 
+def test_language_model_learns_from_every_training_token(documents, monkeypatch):
+    rows, learnt, train = corpus(6), [], language_model.trained
+    monkeypatch.setattr(language_model, "trained", lambda *a: learnt.append(train(*a)) or learnt[-1])
+    got = language_model.scores(documents(rows)).collect()
+    mine = [r for r in got if r.doc_id is not None and not r.held_out]
+    assert sum(m.learnt for m in learnt) == sum(r.n_tokens for r in mine) == got[0].train_tokens
+
+
 @needs_data
 def test_language_model_beats_counts(spark):
     got = language_model.scores(spark.read.parquet(f"{SF}/documents.parquet")).filter("held_out").collect()
