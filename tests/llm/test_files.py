@@ -1,5 +1,6 @@
 """Token files, decontamination and the pipeline."""
 
+import itertools
 import os
 import random
 import zlib
@@ -107,6 +108,41 @@ def test_decontamination(spark, documents):
     assert dc.contaminated(documents([]), benchmark).collect() == [] == dc.contaminated(documents(rows), benchmark.limit(0)).collect()
 
 
+@pytest.mark.parametrize("size", range(8, 25))
+def test_masks_hit_every_arrangement(size):
+    """However a quarter of the words is replaced, some mask sees equal words only."""
+    spots = list(itertools.combinations(range(size), size // 4))
+    equal = np.ones((len(spots), size), bool)
+    equal[np.arange(len(spots))[:, None], spots] = False
+    hit = np.zeros(len(spots), bool)
+    for mask in dc.MASKS:
+        looked = np.array([x == "1" for x in mask])
+        for at in range(size - len(mask) + 1):
+            hit |= equal[:, at : at + len(mask)][:, looked].all(axis=1)
+    assert hit.all()
+
+
+def test_decontamination_finds_all_overlaps(spark, documents):
+    """Random and every-fourth replacements, against brute force over all pairs."""
+    rng = random.Random(8)
+    items = [(i, prose(rng, rng.choice((5, 7, 8, 9, 12, 16, 20, 24)))) for i in range(24)]
+    rows = [(900, prose(rng, 60), "s")]
+    for i, text in items:
+        for turn in range(3):
+            words = text.split()
+            gone = range(3, len(words), 4) if turn == 2 else rng.sample(range(len(words)), len(words) // 4 + turn)
+            for k in gone:
+                words[k] = "changed"
+            rows.append((10 * i + turn, prose(rng, 6) + " " + " ".join(words) + " " + prose(rng, 6), "s"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_words for r in dc.contaminated(documents(rows), benchmark).collect()}
+    want = {
+        (d, i): n for d, text, _ in rows for i, item in items
+        if len(item.split()) >= dc.SHORTEST and (n := brute_overlaps(text, item, dc.SHARE, dc.LEAST))
+    }
+    assert got == want and len(want) > 30
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
