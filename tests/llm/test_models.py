@@ -159,6 +159,20 @@ def test_neighbours_recall(spark, scaled):
     assert hit >= 0.9 * 20 * len(by)
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_neighbours_recall_of_the_defaults(spark):
+    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    held = data.select("vec_id", "embedding").toArrow()
+    ids, rows = held["vec_id"].to_numpy(), np.stack(held["embedding"].to_numpy(zero_copy_only=False)).astype(float)
+    by, hit, asked = {}, 0, np.flatnonzero(ids % neighbours.QUERY_STEP == 0)
+    for r in neighbours.nearest(data, neighbours.every_twentieth(data)).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in asked:
+        order = np.lexsort((ids, -(rows @ rows[q])))
+        hit += len(by[ids[q]] & set(ids[order[ids[order] != ids[q]]][: neighbours.TOP].tolist()))
+    assert hit >= 0.98 * neighbours.TOP * len(asked)
+
+
 def test_neighbours_few_and_none(spark):
     assert neighbours.nearest(vectors(spark, []), vectors(spark, [])).collect() == []
     data = vectors(spark, [(0, [1.0, 0.0], 0.0), (1, [1.0, 0.0], 0.0), (3, [0.0, 2.0], 0.0)])
