@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from poolscope.llm.lines import check_sql as line_dedup
+from poolscope.llm.urls import check_sql as url_filters
 
 WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -31,8 +32,11 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS t
 SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM cut LEFT JOIN kept USING (doc_id)"""
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
 ORACLE_SQL = {
     "op2_jaccard_join": JACCARD,
     "op3_substring_dedup": SUBSTRINGS,
     "op5_line_dedup": line_dedup(),
+    "op11_url_filters": url_filters(URL_RULES),
 }

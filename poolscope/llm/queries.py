@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from poolscope.llm import (
-    decontamination, jaccard, language_model, lines, mixing, neighbours, quality, substrings, toxicity,
+    decontamination, jaccard, language_model, lines, mixing, neighbours, quality, substrings, toxicity, urls,
 )
-from poolscope.llm.checks import ORACLE_SQL
+from poolscope.llm.checks import ORACLE_SQL, URL_RULES
 from poolscope.llm.workers import reachable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urls.judged(table(spark, sf_dir, "pages"), rules)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,7 +81,8 @@ def _ready(query: Query) -> Query:
 def queries() -> dict[str, Query]:
     named = (
         op1_source_mixing, op2_jaccard_join, op3_substring_dedup, op4_nearest_neighbours, op5_line_dedup,
-        op6_toxicity, op7_quality, op8_decontamination, op9_language_model, op10_token_file, pipeline,
+        op6_toxicity, op7_quality, op8_decontamination, op9_language_model, op10_token_file,
+        op11_url_filters, pipeline,
     )
     return {q.__name__: _ready(q) for q in named}
 
