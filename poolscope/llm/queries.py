@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from poolscope.llm import (
-    decontamination, jaccard, language_model, lines, mixing, neighbours, quality, substrings, toxicity, urls,
+    decontamination, jaccard, language_model, lines, mixing, neighbours, periodic, quality, substrings, toxicity, urls,
 )
 from poolscope.llm.checks import ORACLE_SQL, URL_RULES
 from poolscope.llm.workers import reachable
@@ -68,6 +68,11 @@ def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), rules)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_repeats(table(spark, sf_dir, "documents"))
+    return periodic.digests(periodic.periodic_runs(docs))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +87,7 @@ def queries() -> dict[str, Query]:
     named = (
         op1_source_mixing, op2_jaccard_join, op3_substring_dedup, op4_nearest_neighbours, op5_line_dedup,
         op6_toxicity, op7_quality, op8_decontamination, op9_language_model, op10_token_file,
-        op11_url_filters, pipeline,
+        op11_url_filters, op12_periodic_runs, pipeline,
     )
     return {q.__name__: _ready(q) for q in named}
 
