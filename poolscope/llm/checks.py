@@ -32,11 +32,27 @@ kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS t
 SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
 FROM cut LEFT JOIN kept USING (doc_id)"""
 
+TERMS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+LEXICAL = f"""
+WITH docs AS (SELECT doc_id, {TERMS} AS ts FROM documents),
+whole AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS docs, sum(len(ts))::BIGINT AS terms FROM docs),
+asked AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+counted AS (SELECT doc_id, n, term, count(*) AS times FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, whole GROUP BY term, docs),
+values_ AS (SELECT doc_id, term, w * ((1000000000 * times) // (1000 * times + 8 * (10 + (90 * n * docs) // terms))) AS points
+  FROM counted JOIN weights USING (term), whole),
+scored AS (SELECT item_id, doc_id, sum(points)::BIGINT AS score FROM asked JOIN values_ USING (term) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10"""
+
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 ORACLE_SQL = {
     "op2_jaccard_join": JACCARD,
     "op3_substring_dedup": SUBSTRINGS,
     "op5_line_dedup": line_dedup(),
+    "op13_lexical_search": LEXICAL,
     "op11_url_filters": url_filters(URL_RULES),
 }

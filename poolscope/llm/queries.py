@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from poolscope.llm import (
-    decontamination, jaccard, language_model, lines, mixing, neighbours, periodic, quality, substrings, toxicity, urls,
+    decontamination, jaccard, language_model, lexical, lines, mixing, neighbours, periodic, quality, substrings, toxicity,
+    urls,
 )
 from poolscope.llm.checks import ORACLE_SQL, URL_RULES
 from poolscope.llm.workers import reachable
@@ -73,6 +74,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(docs))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +92,7 @@ def queries() -> dict[str, Query]:
     named = (
         op1_source_mixing, op2_jaccard_join, op3_substring_dedup, op4_nearest_neighbours, op5_line_dedup,
         op6_toxicity, op7_quality, op8_decontamination, op9_language_model, op10_token_file,
-        op11_url_filters, op12_periodic_runs, pipeline,
+        op11_url_filters, op12_periodic_runs, op13_lexical_search, pipeline,
     )
     return {q.__name__: _ready(q) for q in named}
 
