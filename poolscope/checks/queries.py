@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,12 +18,13 @@ from poolscope.operators.detectors import (
     archives as da, collisions as dc, dependencies as dd, libraries as dl, sources as ds,
 )
 from poolscope.plans.analyze import Tables, derive, detect_all
+from poolscope.plans.commits import Committed
 from poolscope.plans.storage import fresh_path, stored
 from poolscope.schemas import PACKAGE_KEY
 from poolscope.sinks import index
 from poolscope.sources import branches, inventory, snapshots
 from poolscope.sources import stanzas as stanza_source
-from poolscope.streaming.changes import stream_changes
+from poolscope.streaming.changes import stream_changes, stream_snapshot_merge
 
 QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -104,10 +106,21 @@ def _(fx):
         .when(F.contains(v, F.lit("~rc")), F.repeat(F.lit("7"), F.lit(26))).otherwise(""),
     )
     return fx.packages.select(raw.alias("raw")).distinct().withColumn(
-        "vk", versions.version_key(F.col("raw"), strict=True)
+        "vk", versions.version_key(F.col("raw"), strict=True, longest=26)
     )
 
 
+@query("version_key_long", f"""
+SELECT raw, {vk('raw')} AS vk FROM (SELECT DISTINCT version || repeat('7', CASE length(version) % 4
+  WHEN 0 THEN 27 WHEN 1 THEN 81 WHEN 2 THEN 209 ELSE 300 END) AS raw FROM fx_packages)""")
+def _(fx):
+    v = F.col("version")
+    rest = F.length(v) % 4
+    digits = F.when(rest == 0, 27).when(rest == 1, 81).when(rest == 2, 209).otherwise(300)
+    raw = fx.packages.select(F.concat(v, F.repeat(F.lit("7"), digits)).alias("raw")).distinct()
+    return raw.withColumn("vk", versions.version_key(F.col("raw"), strict=True))
+
+
 _CMP = "CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END"
 
 
@@ -479,7 +492,12 @@ def _(fx):
     return catalogue.repo_modified(fx.repos, fx.packages).select("name", *text_of("mtime"))
 
 
-@query("max_modified", """
+@query("max_modified", "SELECT CAST(coalesce(epoch(max(mtime)), 0) AS BIGINT) AS modified FROM fx_repos")
+def _(fx):
+    return catalogue.max_modified(fx.repos)
+
+
+@query("branch_modified", """
 SELECT branch, CAST(coalesce(epoch(max(mtime)), 0) AS BIGINT) AS modified FROM fx_repos GROUP BY branch""")
 def _(fx):
     return catalogue.branch_modified(fx.repos)
@@ -892,24 +910,91 @@ def _(fx):
     )
 
 
+def _slices(fx: Fixtures, rows: DataFrame, slice_: Column, n: int, label: str):
+    """The rows as ``n`` deliveries to one folder; yields the folder after each."""
+    folder = fresh_folder(fx, label)
+    rows = stored(rows.withColumn("_slice", slice_), label + "-rows")
+    for k in range(n):
+        rows.filter(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(folder)
+        yield folder
+
+
 @query("stream_changes", _PUBLISHED)
 def _(fx):
-    arrivals = (
-        fx.spark.readStream.schema(fx.events.schema).option("pathGlobFilter", "events.parquet")
-        .parquet(fx.sf_dir)
-        .select(
-            F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("package"),
-            F.col("event_type").alias("repo"), "event_id",
-            F.concat(
-                (F.col("event_id") % 9).cast("string"), F.lit("."), (F.col("user_id") % 5).cast("string")
-            ).alias("version"),
-            F.lit("stable").alias("branch"), F.lit("main").alias("component"),
-            F.lit("amd64").alias("architecture"),
+    """Three deliveries in order of arrival; the stream is started anew for each."""
+    arrivals = fx.change_arrivals
+    most = arrivals.agg(F.max("event_id").alias("m")).scalar()
+    target = fresh_folder(fx, "stream")
+    for folder in _slices(fx, arrivals, F.floor(F.col("event_id") * 3 / (most + 1)), 3, "stream-arrivals"):
+        stream = fx.spark.readStream.schema(arrivals.schema).parquet(folder)
+        stream_changes(stream, target, order="event_id").awaitTermination()
+    return fx.spark.read.parquet(f"{target}/events")
+
+
+@query("committed_change_events", f"""
+SELECT 'all' AS readers, value FROM ({ORACLE_SQL["change_messages"]}) UNION ALL
+SELECT 'pinned', {js(comp='comp', pkg='pkg', arch='arch', method='method', from_ver='from_ver', to_ver='to_ver')} FROM ({_PUBLISHED}) WHERE length(pkg) % 3 < 2""")
+def _(fx):
+    """Three batches of messages, two of them sent twice; one reader keeps the commit after the second."""
+    events = stored(
+        changes.published_changes(changes.classify_changes(fx.change_arrivals, order="event_id")), "events"
+    )
+    log = index.change_log(fx.spark, fresh_folder(fx, "change-log"))
+    for batch in (0, 1, 1, 2, 0):
+        index.write_change_events(events.filter(F.length("pkg") % 3 == batch), log, "changes", batch)
+    return log.read().select(F.lit("all").alias("readers"), "value").unionByName(
+        log.read(1).select(F.lit("pinned").alias("readers"), "value")
+    )
+
+
+_BATCH_TIME = "TIMESTAMP '2020-01-01' + to_days(CAST({} AS INTEGER))"
+
+
+@query("stream_snapshot_merge", f"""
+SELECT f.package, f.version, f.repo, f.errno, f.level, f.filename, CASE WHEN f.errno = 421 THEN NULL ELSE f.detail END AS detail,
+  CAST(CASE WHEN f.errno = 421 THEN NULL WHEN f.errno = 431 THEN coalesce(i.ctime, {_BATCH_TIME.format(0)}) ELSE {_BATCH_TIME.format("p.size % 3")} END AS VARCHAR) AS ctime
+FROM ({" UNION ALL ".join(_all(n) for n in (301, 303, 421, 431))}) f
+LEFT JOIN fx_issues_prev i ON {_KEYED}
+LEFT JOIN fx_packages p ON p.package = f.package AND p.version = f.version AND p.repo = f.repo
+UNION ALL SELECT package, version, repo, errno, level, filename, detail, CAST(ctime AS VARCHAR) FROM fx_issues_prev WHERE errno = 302""")
+def _(fx):
+    """Three deliveries of packages; the second batch fails once before its commit and runs again."""
+    every, new = kept_packages(fx), kept_latest(fx)
+    unmet = stored(dl.detect_431(fx.sodep, new, fx.repos, fx.source_deps), "unmet")
+    needed = stored(atoms(fx), "atoms")
+    scope = lifecycle.Scope(whole=frozenset({431}), changed=frozenset({301, 303, 421}))
+    table = Committed(fx.spark, fresh_folder(fx, "issue-table"), fx.issues_prev.schema, ("package",), 8)
+    table.append(fx.issues_prev.filter("errno IN (302, 431)"))
+    lost = [1]
+
+    def detect(rows: DataFrame) -> DataFrame:
+        arrived = rows.select(*every.columns)
+        fresh = new.join(arrived.select(*PACKAGE_KEY), PACKAGE_KEY, "left_semi")
+        return (
+            da.detect_301(arrived).unionByName(da.detect_303(arrived, fx.repos))
+            .unionByName(dc.detect_421(fx.files, new, fx.repos, needed, fresh)).unionByName(unmet)
         )
+
+    def at(batch: int) -> Column:
+        if batch in lost:
+            lost.remove(batch)
+            raise RuntimeError("this batch is lost")
+        return F.lit(f"2020-01-0{batch + 1}").cast("timestamp_ntz")
+
+    checkpoint = fresh_folder(fx, "merge-checkpoint")
+    for folder in _slices(fx, every, F.col("size") % 3, 3, "merge-arrivals"):
+        for _ in range(2):
+            stream = fx.spark.readStream.schema(every.schema).parquet(folder)
+            query_ = stream_snapshot_merge(stream, table, detect, at, checkpoint, scope)
+            try:
+                query_.awaitTermination()
+                break
+            except StreamingQueryException:
+                assert table.last() == 1, "a lost batch leaves the table as it was"
+    return table.read().select(
+        *DETAILS, "errno", "level", "filename", F.when(F.col("errno") != 421, F.col("detail")).alias("detail"),
+        F.when(F.col("errno") != 421, F.col("ctime")).cast("string").alias("ctime"),
     )
-    target = fresh_folder(fx, "stream")
-    stream_changes(arrivals, target, order="event_id").awaitTermination()
-    return fx.spark.read.parquet(f"{target}/events").drop("batch")
 
 
 _COPIES = """

@@ -95,10 +95,11 @@ def _zipped_lengths(held: Column) -> Column:
     return F.array_join(runs, "")
 
 
-def version_key(version: Column, strict: bool = False) -> Column:
+def version_key(version: Column, strict: bool = False, longest: int | None = None) -> Column:
     """Text key whose byte order is version order; null stays null.
 
-    ``strict`` gives null for malformed versions, so such rows can be set aside.
+    ``strict`` gives null for malformed versions and ``longest`` for those with a number of
+    more digits, so such rows can be set aside; keys themselves know no longest number.
     """
     colon = F.instr(version, ":")
     epoch = F.substring_index(version, ":", 1)
@@ -109,6 +110,8 @@ def version_key(version: Column, strict: bool = False) -> Column:
     )
     if strict:
         key = F.when(version.rlike(WELL_FORMED), key)
+    if longest is not None:
+        key = F.when(~version.rlike("[1-9][0-9]{%d}" % longest), key)
     return key
 
 

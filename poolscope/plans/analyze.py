@@ -12,6 +12,7 @@ from poolscope.operators import catalogue, lifecycle
 from poolscope.operators.detectors import (
     archives, collisions, dependencies, libraries, sources,
 )
+from poolscope.plans.commits import Committed
 from poolscope.plans.storage import stored
 
 
@@ -144,3 +145,19 @@ def analyze(
         issues, views.latest, t.sources, t.source_versions, t.tree_branches
     )
     return issues, stats, found
+
+
+def record(
+    issues: DataFrame, stats: DataFrame, issue_table: Committed, history: Committed, now: Column, run: int,
+    writer: str = "analyze",
+) -> None:
+    """Commit a run's issues and its changed statistics; a run that is recorded again changes nothing.
+
+    Readers of an earlier commit keep what they see. The issues go first: a run that
+    fails between the two commits is completed when it is recorded again.
+    """
+    issue_table.replace(issues, writer=writer, batch=run)
+    if not history.done(writer, run):
+        changed = lifecycle.append_if_changed(history.read(), stats)
+        kind = history.columns["updated"].dataType
+        history.append(changed.withColumn("updated", now.cast(kind)), writer, run)

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from poolscope.operators import changes as ch
-from poolscope.streaming.changes import issues_after, stream_changes, stream_snapshot_merge
+from poolscope.operators.lifecycle import Scope
+from poolscope.sinks import index
+from poolscope.streaming.changes import issue_table, merge_batch, stream_changes, stream_snapshot_merge
 from test_versions import compare
 
 ARRIVAL = "package string, repo string, seq int, version string, branch string, component string, architecture string, debtime int"
@@ -49,31 +51,67 @@ def test_classify_matches_replay(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    """Files arrive in order, several a batch; the stream is stopped and started between them."""
     data, df = arrivals(spark)
+    df = df.withColumn("debtime", F.when(F.col("seq") % 7 > 0, 1)).withColumn("replaced", F.when(F.col("seq") % 9 == 0, True))
     source = str(tmp_path / "in")
-    for part in range(5):
-        df.filter(f"seq >= {part * 24} AND seq < {part * 24 + 24}").coalesce(1).write.mode("append").parquet(source)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for part in range(4):
+        df.filter(f"seq >= {part * 30} AND seq < {part * 30 + 30}").repartition(3).write.mode("append").parquet(source)
         stream = spark.readStream.schema(df.schema).parquet(source)
-        stream_changes(stream, str(tmp_path / "out"), order="seq", compact_every=2).awaitTermination()
+        stream_changes(stream, str(tmp_path / "out"), order="seq").awaitTermination()
     got = rows(spark.read.parquet(str(tmp_path / "out/events")), "pkg", "method", "from_ver", "to_ver")
     want = rows(ch.published_changes(ch.classify_changes(df, order="seq")), "pkg", "method", "from_ver", "to_ver")
-    assert got == want and want
+    assert got == want and {r[1] for r in want} == {"new", "upgrade", "overwrite"}
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def unreadable(df):
+    return df.filter("debtime IS NULL").select(
+        "package", "version", "repo", F.lit(301).alias("errno"), F.lit(0).alias("level"), "filename", F.lit("{}").alias("detail"))
 
 
 def test_stream_snapshot_merge(spark, make, tmp_path):
     packages = make("packages", [{"package": "a", "version": "1", "repo": "r", "filename": "a.deb"}])
-    source = str(tmp_path / "in")
+    source, table = str(tmp_path / "in"), issue_table(spark, str(tmp_path / "issues"), 4)
     packages.write.parquet(source)
-    detect = lambda df: df.filter("debtime IS NULL").select(
-        "package", "version", "repo", F.lit(301).alias("errno"), F.lit(0).alias("level"), "filename", F.lit("{}").alias("detail"))
     for _ in range(2):
         stream = spark.readStream.schema(packages.schema).parquet(source)
-        stream_snapshot_merge(stream, make("issues", []), detect, lambda b: F.lit(f"2020-01-0{b + 1}").cast("timestamp"),
-                              str(tmp_path / "out"), examined={301}).awaitTermination()
+        stream_snapshot_merge(stream, table, unreadable, lambda b: F.lit(f"2020-01-0{b + 1}").cast("timestamp"),
+                              str(tmp_path / "check"), Scope(changed=frozenset({301}))).awaitTermination()
         packages.withColumn("debtime", F.lit(1).cast("bigint")).write.mode("append").parquet(source)
-    first = spark.read.parquet(str(tmp_path / "out/issues/batch=0"))
-    second = issues_after(spark, make("issues", []), str(tmp_path / "out"), 1, 20)
-    assert rows(first, "package", "errno", "action") == [("a", 301, "insert")] and second.isEmpty()
+    assert rows(table.read(0), "package", "errno") == [("a", 301)] and table.read(1).isEmpty()
+
+
+def test_merge_of_findings_on_other_packages(spark, make, tmp_path):
+    """A finding on a package that did not arrive keeps the times of its issue; replays change nothing."""
+    table = issue_table(spark, str(tmp_path / "issues"), 8)
+    scope = Scope(changed=frozenset({421}))
+
+    def found(*names):
+        return make("issues", [{"package": n, "version": "1", "repo": "r", "errno": 421, "level": 0, "filename": "f"} for n in names]).select(
+            "package", "version", "repo", "errno", "level", "filename", "detail")
+
+    def arrived(*names):
+        return make("packages", [{"package": n, "version": "1", "repo": "r"} for n in names])
+
+    def day(n):
+        return F.lit(f"2020-01-0{n}").cast("timestamp")
+
+    merge_batch(table, arrived("a"), found("a", "b"), day(1), scope, "w", 0)
+    merge_batch(table, arrived("c"), found("c", "b"), day(2), scope, "w", 1)
+    merge_batch(table, arrived("c"), found(), day(3), scope, "w", 1)
+    times = dict(rows(table.read(), "package", "ctime"))
+    assert {n: t.day for n, t in times.items()} == {"a": 1, "b": 1, "c": 2}
+    merge_batch(table, arrived("a"), found(), day(3), scope, "w", 2)
+    assert rows(table.read(), "package") == [("b",), ("c",)] and table.last() == 2
+
+
+def test_change_events_are_published_once(spark, tmp_path):
+    log = index.change_log(spark, str(tmp_path / "log"))
+    event = spark.createDataFrame([("c", "p", "a", "new", "", "1")], "comp string, pkg string, arch string, method string, from_ver string, to_ver string")
+    assert [index.write_change_events(event, log, "w", b) for b in (0, 0, 1, 0)] == [0, 0, 1, 1]
+    assert log.read().count() == 2 and '"method":"new"' in log.read(0).first().value
 
 
 def test_inventory_upkeep(spark, make):

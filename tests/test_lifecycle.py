@@ -57,7 +57,7 @@ def test_scope_and_repeated_keys(make, spark):
 
 def test_stream_merges_within_its_scope(make, spark, tmp_path):
     from poolscope.schemas import schema
-    from poolscope.streaming.changes import issues_after, stream_snapshot_merge
+    from poolscope.streaming.changes import issue_table, stream_snapshot_merge
 
     start = make("issues", [issue("p1"), issue("p1", 411), issue("p3"), issue("other", 431), issue("other")])
     source = tmp_path / "in"
@@ -69,10 +69,11 @@ def test_stream_merges_within_its_scope(make, spark, tmp_path):
         return rows_.filter("size > 2").select("package", "version", "repo", F.lit(302).alias("errno"), F.lit(0).alias("level"),
                                                F.lit("f").alias("filename"), F.lit("{}").alias("detail"))
 
-    target = str(tmp_path / "out")
-    stream_snapshot_merge(arrivals, start, detect, lambda n: now(), target, examined={302}, compact_every=2).awaitTermination()
-    after = issues_after(spark, start, target, 4, 2)
-    assert rows(after, "package", "errno") == [("other", 302), ("other", 431), ("p1", 411), ("p3", 302), ("p4", 302)]
+    table = issue_table(spark, str(tmp_path / "issues"), 4)
+    table.append(start)
+    scope = lc.Scope(changed=frozenset({302}))
+    stream_snapshot_merge(arrivals, table, detect, lambda n: now(), str(tmp_path / "check"), scope).awaitTermination()
+    assert rows(table.read(), "package", "errno") == [("other", 302), ("other", 431), ("p1", 411), ("p3", 302), ("p4", 302)]
 
 
 def test_changed_since_and_purge(make):

@@ -126,3 +126,19 @@ def test_partial_run_keeps_foreign_issues(make):
     assert rows(left, "errno") == [(303,), (411,), (431,)]
     all_, _, _ = an.analyze(catalogue(make, [file("b", "1", "x")], others), now(), "core")
     assert rows(all_, "errno") == [(303,)]
+
+
+def test_recorded_run_counts_once(spark, make, tmp_path):
+    from poolscope.plans.commits import Committed
+    from poolscope.schemas import schema
+    from poolscope.streaming.changes import issue_table
+
+    table = issue_table(spark, str(tmp_path / "issues"), 4)
+    history = Committed(spark, str(tmp_path / "stats"), schema("issue_stats"))
+    which = {303}
+    for run, items in enumerate(([file("a", "1", "wrong")], [file("a", "1", "wrong"), file("b", "1", "wrong", mtime=2000000000)])):
+        issues, stats, _ = an.analyze(catalogue(make, items, table.read()), now(), "core", which=which)
+        for _ in range(2):
+            an.record(issues, stats, table, history, now(), run)
+    assert rows(table.read(0), "package") == [("a",)] and rows(table.read(), "package") == [("a",), ("b",)]
+    assert rows(history.read().filter("repo = '' and errno = 303"), "cnt") == [(1,), (2,)]
