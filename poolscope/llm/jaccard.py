@@ -18,6 +18,11 @@ members of different components that still pass the filters are compared. That
 loses no link between components, which is all the result needs. Equal sets, by
 a 64-bit hash together with the size, join one component without comparison.
 
+Every document has a sketch of ``BITS`` bits, each the parity of the tokens hashed to it. Two
+sketches differ in at most as many bits as there are tokens in just one of the sets, and linked sets
+have few of those, so pairs whose sketches differ more are dropped on ids, inside
+the join where members of different components meet, before any text moves.
+
 Defined results: null text or no words: empty set, own component. Null ids:
 ``component_id`` null, linked with nothing. Repeated rows (same id and text): equal
 results; an id is taken to name one text. Empty table: empty result. Other columns
@@ -46,6 +51,9 @@ ORDERS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 ROWS = 200_000
 SALTS = 64
 PART = 500
+BITS = 1024
+WORDS = [f"b{i}" for i in range(BITS // 64)]
+SKETCH_BYTES = 16 * len(WORDS)
 
 
 def shingles(text: bytes | None, n: int = N) -> np.ndarray:
@@ -63,6 +71,12 @@ def class_of(tokens: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """The sketch of a set: for each bit whether an odd number of tokens is hashed to it."""
+    odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -94,24 +108,26 @@ def _new_sets(batches: Iterator[pa.RecordBatch], n: int):
 
 
 def classes_and_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
-    """(doc_id, n, cls, chunk, counts): a row per document, and the task's cell counts.
+    """(doc_id, n, cls, chunk, counts, b0...): a row per document with its sketch, and the task's cell counts.
 
     Counts are fixed tables of a task, cut into compressed chunks; rows of documents
     have no chunk. Without words n is 0 and there is no class.
     """
     chunks, width = 1 << (bits - CHUNK_BITS), 1 << CHUNK_BITS
     shift = np.uint64(64 - bits)
-    names = ["doc_id", "n", "cls", "chunk", "counts"]
+    names = ["doc_id", "n", "cls", "chunk", "counts", *WORDS]
+    empty = np.zeros(len(WORDS), np.int64)
 
     def run(batches):
         cells, seen = np.zeros(1 << bits, np.uint16), set()
         for batch in batches:
-            size, classes = [], []
+            size, classes, sketches = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
                 tokens = shingles(text, n)
                 cls = class_of(tokens) if len(tokens) else None
                 size.append(len(tokens))
                 classes.append(cls)
+                sketches.append(empty if cls is None else parities(tokens))
                 if cls is not None and doc is not None and cls not in seen:
                     seen.add(cls)
                     at = np.unique((tokens >> shift).astype(np.int64))
@@ -119,15 +135,17 @@ def classes_and_counts(docs: DataFrame, n: int, bits: int) -> DataFrame:
             none = pa.nulls(batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(size, pa.int64()), pa.array(classes, pa.int64()),
-                 none.cast(pa.int32()), none.cast(pa.binary())], names,
+                 none.cast(pa.int32()), none.cast(pa.binary()), *map(pa.array, np.array(sketches, np.int64).reshape(-1, len(WORDS)).T)],
+                names,
             )
         none = pa.nulls(chunks, pa.int64())
         parts = [zlib.compress(cells[i * width : (i + 1) * width].tobytes(), 1) for i in range(chunks)]
         yield pa.RecordBatch.from_arrays(
-            [none, none, none, pa.array(range(chunks), pa.int32()), pa.array(parts, pa.binary())], names
+            [none, none, none, pa.array(range(chunks), pa.int32()), pa.array(parts, pa.binary()), *[none] * len(WORDS)], names
         )
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, chunk int, counts binary")
+    words = "".join(f", {w} long" for w in WORDS)
+    return docs.mapInArrow(run, "doc_id long, n long, cls long, chunk int, counts binary" + words)
 
 
 def frequency_levels(counted: DataFrame, bits: int) -> np.ndarray:
@@ -255,13 +273,34 @@ def enough_shared(n1: Column, n2: Column, percent: int) -> Column:
     return whole - percent / 100 * step * 1.0001 * F.greatest(n1, n2)
 
 
-def across_components(open_: DataFrame, percent: int) -> DataFrame:
+def close(left: str, right: str, percent: int) -> Column:
+    """Sizes and sketches, in columns with these prefixes, allow a link."""
+    n1, n2 = F.col(left + "n"), F.col(right + "n")
+    differ = sum((F.bit_count(F.col(left + w).bitwiseXOR(F.col(right + w))) for w in WORDS), F.lit(0))
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (
+        (100 + percent) * differ <= (100 - percent) * (n1 + n2)
+    )
+
+
+def with_sketch(rows: DataFrame, sketches: DataFrame, id_: str, prefix: str) -> DataFrame:
+    named = sketches.select(F.col("doc_id").alias(id_), *[F.col(c).alias(prefix + c) for c in ("n", *WORDS)])
+    return join_by_size(rows, named, id_, "inner", row_bytes=SKETCH_BYTES)
+
+
+def close_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (hub, member) whose sketches allow a link."""
+    both = with_sketch(with_sketch(pairs, sketches, "hub", "h_"), sketches, "member", "m_")
+    return both.filter(close("h_", "m_", percent)).select("hub", "member")
+
+
+def across_components(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """(hub, member): pairs of different components that pass all filters of the first order."""
-    other = open_.select("token", *[F.col(c).alias("o_" + c) for c in ("x", "doc_id", "root")])
+    own = stored(with_sketch(open_, sketches, "doc_id", "k_"), "jaccard-sketched")
+    other = own.select(*[F.col(c).alias("o_" + c) for c in own.columns])
     n1, n2 = (F.pow(F.lit(2.0), _size(x) / SIZE_STEPS) for x in ("x", "o_x"))
+    differ = (F.col("doc_id") < F.col("o_doc_id")) & (F.col("root") != F.col("o_root"))
     return (
-        open_.join(other, "token")
-        .filter((F.col("doc_id") < F.col("o_doc_id")) & (F.col("root") != F.col("o_root")))
+        own.join(other, (F.col("token") == F.col("o_token")) & differ & close("k_", "o_k_", percent))
         .groupBy(F.col("doc_id").alias("hub"), F.col("o_doc_id").alias("member"))
         .agg(
             F.count("*").alias("common"), F.max(may_link("x", "o_x", percent)).alias("may"),
@@ -339,7 +378,10 @@ def jaccard_components(
     levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(counted, sketch_bits))
     shared = stored(shared_tokens(prefix_rows(known, levels, n, percent)), "jaccard-shared")
 
-    to_lead = stored(leads(shared, percent), "jaccard-leads")
+    sketch = F.max(F.struct("n", *WORDS)).alias("s")
+    sketches = counted.filter("chunk is null and doc_id is not null and cls is not null").groupBy("doc_id").agg(sketch)
+    sketches = stored(sketches.select("doc_id", "s.*"), "jaccard-sketches")
+    to_lead = stored(close_pairs(leads(shared, percent), sketches, percent), "jaccard-leads")
     first = stored(linked(to_lead, known, levels, n, percent, "jaccard-first"), "jaccard-links")
     groups = stored(components(first.unionByName(equal), "jaccard-first"), "jaccard-groups")
 
@@ -348,7 +390,7 @@ def jaccard_components(
     placed = placed.withColumn("root", F.coalesce("root", "doc_id"))
     split = placed.groupBy("token").agg(F.min("root").alias("s"), F.max("root").alias("t")).filter("s <> t").select("token")
     open_ = stored(placed.join(split, "token", "left_semi"), "jaccard-open")
-    rest = stored(across_components(open_, percent), "jaccard-rest")
+    rest = stored(across_components(open_, sketches, percent), "jaccard-rest")
     second = linked(rest, known, levels, n, percent, "jaccard-second")
     left = groups.select(F.col("node").alias("a"), F.col("root").alias("ra"))
     right = groups.select(F.col("node").alias("b"), F.col("root").alias("rb"))
@@ -364,5 +406,5 @@ def jaccard_components(
         .select("doc_id", "n", F.coalesce("top", "root").alias("root")),
         "jaccard-roots",
     )
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    least = stored(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "jaccard-least")
+    return join_by_size(rooted, least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

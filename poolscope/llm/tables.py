@@ -9,7 +9,7 @@ from poolscope.plans.storage import fresh_path, stored
 
 __all__ = ["components", "fresh_path", "held_out", "join_by_size", "stored"]
 
-#: Bytes of a table that may be broadcast, at 32 a row and 8 an element of its array.
+#: Bytes of a table that may be broadcast, at ``row_bytes`` a row and 8 an element of its array.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -20,7 +20,8 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
 
 
 def join_by_size(
-    big: DataFrame, small: DataFrame, key: str, how: str, array: str | None = None, most: int = BROADCAST_BYTES
+    big: DataFrame, small: DataFrame, key: str, how: str, array: str | None = None, most: int | None = None,
+    row_bytes: int = 32,
 ) -> DataFrame:
     """Join a stored table on ``key``, shipping it only when it takes less than ``most`` bytes.
 
@@ -28,8 +29,8 @@ def join_by_size(
     first. Larger tables are joined by shuffling both sides.
     """
     elements = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
-    size = small.agg((32 * F.count("*") + 8 * elements).alias("bytes")).first().bytes
-    return big.join(F.broadcast(small) if size <= most else small, key, how)
+    size = small.agg((row_bytes * F.count("*") + 8 * elements).alias("bytes")).first().bytes
+    return big.join(F.broadcast(small) if size <= (BROADCAST_BYTES if most is None else most) else small, key, how)
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

@@ -53,6 +53,34 @@ def test_jaccard_ignores_the_counts_of_the_sketch(documents):
     assert {r.doc_id: r.component_id for r in small if r.doc_id is not None} == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def test_sketches_lose_no_link(spark):
+    """Sets on both sides of the threshold: linked ones are always close, most of the others are not."""
+    rng = np.random.default_rng(5)
+    rows, links = [], []
+    for k in range(400):
+        n = int(rng.integers(1, 900))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        drop, more = rng.integers(0, max(1, len(a) // 3), 2)
+        b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        links.append(100 * both >= 75 * (len(a) + len(b) - both))
+        rows.append((k, len(a), *jaccard.parities(a).tolist(), len(b), *jaccard.parities(b).tolist()))
+    names = ["k", *[p + c for p in ("x_", "y_") for c in ("n", *jaccard.WORDS)]]
+    df = spark.createDataFrame(rows, names).select("k", jaccard.close("x_", "y_", 75).alias("close"))
+    close = [r.close for r in df.orderBy("k").collect()]
+    assert all(c for c, link in zip(close, links, strict=True) if link) and 50 < sum(links) < 350
+    assert sum(c for c, link in zip(close, links, strict=True) if not link) < 0.5 * (len(rows) - sum(links))
+
+
+def test_jaccard_without_broadcasts(documents, monkeypatch):
+    from poolscope.llm import tables
+
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", -1)
+    rows = corpus(12)
+    got = jaccard.jaccard_components(documents(rows)).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == {i: c for i, (_, c) in brute_components(rows).items()}
+
+
 def test_jaccard_empty_and_repeated(documents):
     assert jaccard.jaccard_components(documents([])).collect() == []
     got = jaccard.jaccard_components(documents([(4, "a b", "x"), (4, "a b", "x"), (2, "A B", None), (9, "", "x")])).collect()
