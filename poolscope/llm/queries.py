@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from poolscope.llm import (
-    decontamination, jaccard, language_model, lexical, lines, mixing, neighbours, periodic, quality, substrings, toxicity,
-    urls,
+    decontamination, jaccard, language_model, lexical, lines, mixing, neighbours, periodic, quality, substrings, tokens,
+    toxicity, urls,
 )
 from poolscope.llm.checks import ORACLE_SQL, URL_RULES
 from poolscope.llm.workers import reachable
@@ -59,9 +59,7 @@ def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from corpus_pipeline import written_digests
-
-    return written_digests(table(spark, sf_dir, "documents"))
+    return tokens.written_digests(table(spark, sf_dir, "documents"))
 
 
 def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,33 +10,40 @@ hold the vocabulary, id ``i`` at bit ``i * bits`` of little-endian 64-bit words.
 Blocks close at ``BLOCK`` ids. A document is found by its block's id range, which
 Parquet's statistics prune, and unpacked from its bit offset alone.
 
-Texts are dealt by ranges of doc_id and sorted inside a range. Words are encoded once
-and remembered: the tokenizer drops white space and never joins across it, so a
-text's ids are those of its words one after the other. ``by_word=False`` encodes
-whole texts, for tokenizers that do not.
-
-Defined results: null text: only the end id. Null doc_ids come first, in order of
-text. Repeated rows: one entry each. Empty table: no rows. A text that alone exceeds
-``BLOCK`` is a block of its own. Other columns are ignored.
+Texts are encoded where they are read; their ids, not the texts, are dealt by ranges of
+doc_id, whose bounds come from the ids alone, and sorted inside a range. ``by_word=True``
+encodes each word once and remembers it. That is right only for tokenizers that drop white space, never
+join across it, lower-case A-Z and cut before points and commas, as ``TOKENIZER`` does; others
+need the default, which encodes whole texts.
+
+Defined results: null text: only the end id. Null doc_ids come first; rows of one id, and those
+without one, are in order of their token ids' bytes. Repeated rows: one entry each. Empty
+table: no rows. A text that alone exceeds ``BLOCK`` is a block of its own. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from poolscope.llm.tables import fresh_path
 from poolscope.llm.words import byte_texts
 
+TOKENIZER = "word_bpe_49k.json"
+VOCABULARY = 49_408
 END = 1
 BLOCK = 1 << 16
 REMEMBERED = 800_000
-REMEMBERED_BYTES = 48
+REMEMBERED_BYTES = 32 << 20
+TOGETHER = 1000
+PIECE = 256
 
 FORMAT = (
     "shard int, block int, first long, least long, most long, doc_ids array<long>,"
@@ -81,7 +88,12 @@ def unpacked(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts.
+
+    Words not met before are encoded many at a time, with a special token of the tokenizer
+    between them, which it never joins with its neighbours. A word is a core and a tail of points
+    and commas; each of these parts has its ids in one growing array.
+    """
 
     _ready: dict[tuple[str, bool], Encoder] = {}
 
@@ -89,7 +101,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_file(path), by_word
-        self.known: dict[bytes, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        plain = [(i, t.content) for i, t in sorted(added.items()) if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        self.cut = plain[0] if plain else None
+        self.marks = {c.encode() for t in added.values() for c in t.content if not c.isalnum()}
+        self._forget()
 
     @classmethod
     def of(cls, path: str, by_word: bool) -> Encoder:
@@ -98,102 +114,178 @@ class Encoder:
             cls._ready[path, by_word] = cls(path, by_word)
         return cls._ready[path, by_word]
 
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+    def _forget(self) -> None:
+        self.words: dict[bytes, int] = {}
+        self.parts: dict[bytes, int] = {b"": 0}
+        self.core, self.tail = array("q"), array("q")
+        self.first, self.count, self.flat = array("q", [0]), array("q", [0]), array("I")
+        self.size = 0
 
-    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words not remembered.
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def _learn_parts(self, fresh: list[bytes]) -> None:
+        """Encode and remember parts of words."""
+        alone = [p for p in fresh if self.cut is None or any(m in p for m in self.marks)]
+        apart = set(alone)
+        rest = [p for p in fresh if p not in apart]
+        groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
+        between = self.cut[1].encode() if self.cut else b""
+        counts, ids = [], []
+        for group, found in zip(groups, self._encode([between.join(g) for g in groups]), strict=True):
+            ends = np.append(np.flatnonzero(found == self.cut[0]), len(found))
+            if len(ends) != len(group):
+                raise ValueError("the tokenizer does not keep its special token apart")
+            counts.append(np.diff(ends, prepend=-1) - 1)
+            ids.append(found[found != self.cut[0]])
+        for found in self._encode(alone):
+            counts.append(np.array([len(found)]))
+            ids.append(found)
+        counts = np.concatenate(counts)
+        self.parts.update(zip([*rest, *alone], range(len(self.count), len(self.count) + len(counts)), strict=True))
+        self.first.extend((len(self.flat) + np.cumsum(counts) - counts).tolist())
+        self.count.extend(counts.tolist())
+        self.flat.frombytes(np.concatenate(ids).astype(np.uint32).tobytes())
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Remember words.
 
         A word is cut where the tokenizer cuts it for certain, between a letter or
         digit and the points and commas at its end, and A-Z is lower-cased as it does;
-        words with "<" are left alone, as they may name a special token.
+        words with a mark of a special token are left alone.
         """
-        cut = {}
+        cut = []
         for w in words:
             core = w.rstrip(b".,")
-            if b"<" in w or not core[-1:].isalnum():
-                cut[w] = (w, b"")
-            else:
-                cut[w] = (core.lower(), w[len(core) :])
-        known = self.known
-        new = list({part for pair in cut.values() for part in pair if part and part not in known})
-        table = dict(zip(new, self._encode(new), strict=True))
-        table[b""] = b""
-        found = {}
-        for w, (core, tail) in cut.items():
-            head = known[core] if core in known else table[core]
-            found[w] = head + (known[tail] if tail in known else table[tail]) if tail else head
-        self._remember(table)
-        return found
-
-    def _remember(self, table: dict[bytes, bytes]) -> None:
-        room = REMEMBERED - len(self.known)
-        if room > 0:
-            short = [(w, i) for w, i in table.items() if len(w) <= REMEMBERED_BYTES]
-            self.known.update(short[:room])
-
-    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+            whole = any(m in w for m in self.marks) or not core[-1:].isalnum()
+            cut.append((w, w, b"") if whole else (w, core.lower(), w[len(core) :]))
+        fresh = {part for _, core, tail in cut for part in (core, tail)} - self.parts.keys()
+        if fresh:
+            self._learn_parts(list(fresh))
+        for w, core, tail in cut:
+            self.words[w] = len(self.core)
+            self.core.append(self.parts[core])
+            self.tail.append(self.parts[tail])
+        self.size += sum(map(len, words))
+
+    def together(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, and where each text's begin, with the end."""
         if not self.by_word:
-            return self._encode([t or b"" for t in texts])
+            ids = self._encode([t or b"" for t in texts])
+            return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum([0, *map(len, ids)])
         split = [(t or b"").split() for t in texts]
-        known = self.known
-        table = self._encode_words(list({w for words in split for w in words if w not in known}))
-        out = [b"".join([known[w] if w in known else table[w] for w in words]) for words in split]
-        self._remember(table)
-        return out
+        words = list(chain.from_iterable(split))
+        fresh = set(words) - self.words.keys()
+        if len(self.words) + len(fresh) > REMEMBERED or self.size > REMEMBERED_BYTES:
+            self._forget()
+            fresh = set(words)
+        self._learn(fresh)
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        parts = np.column_stack([np.frombuffer(x, np.int64)[at] if len(at) else at for x in (self.core, self.tail)]).ravel()
+        counts = np.frombuffer(self.count, np.int64)[parts]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        spots = np.repeat(np.frombuffer(self.first, np.int64)[parts] - ends[:-1], counts) + np.arange(ends[-1])
+        ids = np.frombuffer(self.flat, np.uint32)[spots] if len(spots) else np.zeros(0, np.uint32)
+        return ids, ends[2 * np.cumsum([0, *map(len, split)])]
+
+    def ids(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit bytes."""
+        ids, ends = self.together(texts)
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def encoded(docs: DataFrame, tokenizer: str, vocabulary: int, end: int, by_word: bool, bounds: list[int]) -> DataFrame:
+    """(shard, doc_id, ids): the ids of each document, its end included, in 1, 2 or 4 bytes each."""
+    kind = width_type(vocabulary, end)
+    limits = np.array(bounds, np.int64)
+
+    def run(batches):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = Encoder.of(tokenizer, by_word)
+        for batch in batches:
+            for low in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(low, PIECE)
+                ids, ends = encoder.together(byte_texts(piece.column(1)))
+                closed = np.insert(ids, ends[1:], end).astype(kind)
+                offsets = (ends + np.arange(len(ends))) * kind.itemsize
+                payload = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), piece.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(closed)]
+                )
+                known = piece.column(0).is_null().to_numpy(zero_copy_only=False)
+                shard = np.where(known, 0, np.searchsorted(limits, piece.column(0).fill_null(0).to_numpy()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard, pa.int32()), piece.column(0), payload.cast(pa.binary())], ["shard", "doc_id", "ids"]
+                )
+
+    columns = docs.select(F.col("doc_id").cast("long"), "text")
+    return columns.mapInArrow(run, "shard int, doc_id long, ids binary")
+
+
+def width_type(vocabulary: int, end: int) -> np.dtype:
+    """The least unsigned little-endian type that holds every id."""
+    return next(np.dtype(t) for t in ("<u1", "<u2", "<u4") if max(vocabulary - 1, end) <= np.iinfo(t).max)
 
 
 def write_tokens(
     docs: DataFrame, target: str, tokenizer: str, vocabulary: int, end: int = END, block: int = BLOCK,
-    by_word: bool = True,
+    by_word: bool = False,
 ) -> None:
     """Write the texts' ids, each document closed by ``end``, to the folder ``target``."""
-    bits = width_of(max(vocabulary, end + 1))
-    tail = np.array([end], "<u4").tobytes()
+    bits, kind = width_of(max(vocabulary, end + 1)), width_type(vocabulary, end)
     names = [f.split(" ")[-2].strip() for f in FORMAT.split(",")]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()),
+             pa.list_(pa.int64()), pa.int32(), pa.binary())
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, shard = Encoder.of(tokenizer, by_word), TaskContext.get().partitionId()
-        number, before = 0, 0
+        number, before, size = 0, 0, 0
         docs_held: list[int | None] = []
         ids_held: list[bytes] = []
-        size = 0
 
         def close():
-            ends = np.cumsum([0] + [len(b) // 4 for b in ids_held])
+            ends = np.cumsum([0] + [len(b) // kind.itemsize for b in ids_held])
             named = [d for d in docs_held if d is not None]
             row = (
                 [shard], [number], [before], [min(named, default=None)], [max(named, default=None)],
-                [docs_held], [ends.tolist()], [bits], [packed(np.frombuffer(b"".join(ids_held), "<u4"), bits)],
+                [docs_held], [ends.tolist()], [bits], [packed(np.frombuffer(b"".join(ids_held), kind), bits)],
             )
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()),
-                     pa.list_(pa.int64()), pa.int32(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for part in range(0, batch.num_rows, 256):
-                piece = batch.slice(part, 256)
-                for doc, ids in zip(piece.column(0).to_pylist(), encoder.ids(byte_texts(piece.column(1))), strict=True):
-                    n = len(ids) // 4 + 1
-                    if docs_held and size + n > block:
-                        yield close()
-                        number, before, docs_held, ids_held, size = number + 1, before + size, [], [], 0
-                    docs_held.append(doc)
-                    ids_held.append(ids + tail)
-                    size += n
+            for shard, doc, ids in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                n = len(ids) // kind.itemsize
+                if docs_held and size + n > block:
+                    yield close()
+                    number, before, docs_held, ids_held, size = number + 1, before + size, [], [], 0
+                docs_held.append(doc)
+                ids_held.append(ids)
+                size += n
         if docs_held:
             yield close()
 
-    # Several ranges per partition wanted would only split documents of one id.
-    dealt = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
-    in_order = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / shards for i in range(1, shards)]
+    bounds = docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("b")).first().b if shares else []
+    dealt = encoded(docs, tokenizer, vocabulary, end, by_word, bounds or []).repartitionById(shards, "shard")
+    in_order = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
     in_order.mapInArrow(run, FORMAT).write.option("compression", "zstd").parquet(target)
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def written_digests(docs: DataFrame) -> DataFrame:
+    """Write the token file of ``TOKENIZER`` to the shared folder and read ``digests`` back from it."""
+    target = fresh_path(docs.sparkSession, "token-file")
+    write_tokens(docs, target, tokenizer_path(), VOCABULARY, by_word=True)
+    return digests(read_tokens(docs.sparkSession, target))
+
+
 def read_tokens(spark: SparkSession, target: str) -> DataFrame:
     """The blocks of a written folder with ``start``, the ids of all blocks before."""
     blocks = spark.read.schema(FORMAT).parquet(target)

@@ -29,7 +29,7 @@ def test_packing(bits):
 
 
 def test_words_encode_like_texts():
-    path = corpus_pipeline.tokenizer_path()
+    path = tokens.tokenizer_path()
     whole, by_word = Tokenizer.from_file(path), tokens.Encoder(path, True)
     rng = random.Random(1)
     parts = [*"aAbZ09.,!'\"<|>éÉßİΣς ٣  \x1c\x85\n\t中文😀é-_", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "don't", "A.B.,", ".,"]
@@ -38,10 +38,20 @@ def test_words_encode_like_texts():
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_words_forgotten_and_learnt_again(monkeypatch):
+    path = tokens.tokenizer_path()
+    texts = [prose(random.Random(i), 30).encode() for i in range(40)]
+    want = tokens.Encoder(path, False).ids(texts)
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    monkeypatch.setattr(tokens, "TOGETHER", 7)
+    few = tokens.Encoder(path, True)
+    assert [few.ids([t])[0] for t in texts] == want and len(few.words) <= 80
+
+
 def test_token_file(spark, documents, tmp_path):
     rows = corpus(2)
-    docs, path, target = documents(rows).repartition(3), corpus_pipeline.tokenizer_path(), str(tmp_path / "file")
-    tokens.write_tokens(docs, target, path, corpus_pipeline.VOCABULARY, block=512)
+    docs, path, target = documents(rows).repartition(3), tokens.tokenizer_path(), str(tmp_path / "file")
+    tokens.write_tokens(docs, target, path, tokens.VOCABULARY, block=512, by_word=True)
     blocks = tokens.read_tokens(spark, target)
     got = sorted(tokens.digests(blocks).collect(), key=lambda r: r.start)
     whole, at = Tokenizer.from_file(path), 0
@@ -54,7 +64,10 @@ def test_token_file(spark, documents, tmp_path):
     some = {r.doc_id: r.ids for r in tokens.documents_of(blocks, [9, 30]).collect()}
     texts = {i: t for i, t, _ in rows}
     assert some == {i: [*whole.encode(texts[i], add_special_tokens=False).ids, 1] for i in (9, 30)}
-    tokens.write_tokens(documents([]), str(tmp_path / "none"), path, corpus_pipeline.VOCABULARY)
+    tokens.write_tokens(docs, str(tmp_path / "whole"), path, tokens.VOCABULARY)
+    again = tokens.digests(tokens.read_tokens(spark, str(tmp_path / "whole"))).collect()
+    assert sorted(again, key=lambda r: r.start) == got
+    tokens.write_tokens(documents([]), str(tmp_path / "none"), path, tokens.VOCABULARY)
     assert tokens.digests(tokens.read_tokens(spark, str(tmp_path / "none"))).collect() == []
 
 
