@@ -11,16 +11,6 @@ from poolscope.llm import decontamination, jaccard, mixing, quality, tokens
 from poolscope.llm.tables import fresh_path, join_by_size, stored
 from poolscope.llm.workers import reachable
 
-TOKENIZER = "word_bpe_49k.json"
-VOCABULARY = 49_408
-
-
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents the quality classifier rejects."""
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -61,13 +51,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Write the bit-packed token file and return what it holds of each document."""
-    return written_digests(docs)
-
-
-def written_digests(docs: DataFrame) -> DataFrame:
-    target = fresh_path(docs.sparkSession, "token-file")
-    tokens.write_tokens(docs, target, tokenizer_path(), VOCABULARY)
-    return tokens.digests(tokens.read_tokens(docs.sparkSession, target))
+    return tokens.written_digests(docs)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
