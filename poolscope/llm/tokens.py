@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ BLOCK = 1 << 16
 REMEMBERED = 800_000
 REMEMBERED_BYTES = 32 << 20
 TOGETHER = 1000
-PIECE = 256
+PIECE = 96
 
 FORMAT = (
     "shard int, block int, first long, least long, most long, doc_ids array<long>,"
@@ -90,9 +90,10 @@ def unpacked(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 class Encoder:
     """Ids of texts.
 
-    Words not met before are encoded many at a time, with a special token of the tokenizer
-    between them, which it never joins with its neighbours. A word is a core and a tail of points
-    and commas; each of these parts has its ids in one growing array.
+    Words not met before that are letters a-z go to the tokenizer's model, which has them whole;
+    the others are encoded many at a time, with a special token of the tokenizer between
+    them, which it never joins with its neighbours. A word is a core and a tail of points and
+    commas; each of these parts has its ids in one growing array.
     """
 
     _ready: dict[tuple[str, bool], Encoder] = {}
@@ -127,12 +128,15 @@ class Encoder:
 
     def _learn_parts(self, fresh: list[bytes]) -> None:
         """Encode and remember parts of words."""
-        alone = [p for p in fresh if self.cut is None or any(m in p for m in self.marks)]
-        apart = set(alone)
-        rest = [p for p in fresh if p not in apart]
+        letters = [p for p in fresh if p.isalpha()]
+        fresh = [p for p in fresh if not p.isalpha()]
+        alone, rest = (fresh, []) if self.cut is None else self._marked(fresh)
         groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
         between = self.cut[1].encode() if self.cut else b""
-        counts, ids = [], []
+        one = self.tokenizer.model.tokenize
+        known = [[t.id for t in one(p.decode())] for p in letters]
+        counts = [np.fromiter(map(len, known), np.int64, len(known))]
+        ids = [np.fromiter(chain.from_iterable(known), np.uint32)]
         for group, found in zip(groups, self._encode([between.join(g) for g in groups]), strict=True):
             ends = np.append(np.flatnonzero(found == self.cut[0]), len(found))
             if len(ends) != len(group):
@@ -143,7 +147,7 @@ class Encoder:
             counts.append(np.array([len(found)]))
             ids.append(found)
         counts = np.concatenate(counts)
-        self.parts.update(zip([*rest, *alone], range(len(self.count), len(self.count) + len(counts)), strict=True))
+        self.parts.update(zip([*letters, *rest, *alone], range(len(self.count), len(self.count) + len(counts)), strict=True))
         self.first.extend((len(self.flat) + np.cumsum(counts) - counts).tolist())
         self.count.extend(counts.tolist())
         self.flat.frombytes(np.concatenate(ids).astype(np.uint32).tobytes())
@@ -155,20 +159,26 @@ class Encoder:
         digit and the points and commas at its end, and A-Z is lower-cased as it does;
         words with a mark of a special token are left alone.
         """
-        cut = []
-        for w in words:
-            core = w.rstrip(b".,")
-            whole = any(m in w for m in self.marks) or not core[-1:].isalnum()
-            cut.append((w, w, b"") if whole else (w, core.lower(), w[len(core) :]))
-        fresh = {part for _, core, tail in cut for part in (core, tail)} - self.parts.keys()
+        marked, plain = self._marked(list(words))
+        bare = [w.rstrip(b".,") for w in plain]
+        cut = [(b.lower(), w[len(b) :]) if b[-1:].isalnum() else (w, b"") for w, b in zip(plain, bare, strict=True)]
+        cores, tails = [*marked, *[c for c, _ in cut]], [*[b""] * len(marked), *[t for _, t in cut]]
+        fresh = {*cores, *tails} - self.parts.keys()
         if fresh:
             self._learn_parts(list(fresh))
-        for w, core, tail in cut:
-            self.words[w] = len(self.core)
-            self.core.append(self.parts[core])
-            self.tail.append(self.parts[tail])
+        self.words.update(zip([*marked, *plain], range(len(self.core), len(self.core) + len(cores)), strict=True))
+        self.core.extend(map(self.parts.__getitem__, cores))
+        self.tail.extend(map(self.parts.__getitem__, tails))
         self.size += sum(map(len, words))
 
+    def _marked(self, words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """Words that hold a mark of a special token, and the others."""
+        whole = b" ".join(words)
+        if not any(m in whole for m in self.marks):
+            return [], words
+        hold = [any(m in w for m in self.marks) for w in words]
+        return list(compress(words, hold)), list(compress(words, [not h for h in hold]))
+
     def together(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and where each text's begin, with the end."""
         if not self.by_word:

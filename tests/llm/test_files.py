@@ -34,6 +34,7 @@ def test_words_encode_like_texts():
     rng = random.Random(1)
     parts = [*"aAbZ09.,!'\"<|>éÉßİΣς ٣  \x1c\x85\n\t中文😀é-_", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "don't", "A.B.,", ".,"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += [prose(rng, 20).swapcase() + "." for _ in range(50)] + ["WORD,", "k" * 400]
     for text, ids in zip(texts, by_word.ids([t.encode() for t in texts]), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
