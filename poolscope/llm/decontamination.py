@@ -217,6 +217,13 @@ def contaminated(
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without any item of the benchmark, with the columns of ``docs``."""
-    bad = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return join_by_size(docs, stored(bad, "decontamination-bad"), "doc_id", "left_anti")
+    """The documents without any item of the benchmark, with the columns of ``docs``.
+
+    Texts are judged, by a 64-bit hash, not ids: rows without an id go when their text is
+    contaminated, and of rows that share an id only those do whose text is.
+    """
+    key = "decontamination_text_hash"
+    hashed = F.xxhash64("text")
+    bad = contaminated(docs.select(hashed.alias("doc_id"), "text"), benchmark, **options)
+    bad = stored(bad.select(F.col("doc_id").alias(key)).distinct(), "decontamination-bad")
+    return join_by_size(docs.withColumn(key, hashed), bad, key, "left_anti").drop(key)

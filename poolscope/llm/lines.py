@@ -2,10 +2,9 @@
 
 Pages are grouped by host. A line counts once per page; its ratio is the number of
 the host's pages that contain it divided by all pages of the host. Lines above
-``RATIO`` on hosts with at least ``PAGES`` pages are boilerplate and go; the rest
-of the page stays in order. On a host of three pages one page is above the ratio, so
-lines of a single page go too; ``copies=2`` keeps every line that is on fewer than
-two pages of its host. The default is the rule that ``check_sql`` states.
+``RATIO`` on hosts with at least ``PAGES`` pages are boilerplate and go, if at least ``COPIES``
+pages hold them (on a host of three pages one page is above the ratio already); the rest
+of the page stays in order.
 
 Distinct lines of a page are cut and hashed where the page is read, and counted
 with partial aggregation, so a hot host or line is summed up before the shuffle. A
@@ -32,7 +31,7 @@ from poolscope.llm.tables import join_by_size, stored
 
 RATIO = 0.3
 PAGES = 3
-COPIES = 1
+COPIES = 2
 
 HIDDEN = "(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->"
 BREAK = "(?i)</?(?:p|div|br|hr|li|ul|ol|nav|header|footer|article|section|aside|main|h[1-6]|table|tr|td|th|title|head|body|html|pre|blockquote|form)\\b[^>]*>|[\\r\\n]+"
@@ -88,7 +87,7 @@ def without_boilerplate(
     )
 
 
-def check_sql(ratio: float = RATIO, least: int = PAGES) -> str:
+def check_sql(ratio: float = RATIO, least: int = PAGES, copies: int = COPIES) -> str:
     """The same result in DuckDB's SQL."""
     return f"""
 WITH cut AS (
@@ -103,7 +102,7 @@ total AS (SELECT host, count(*) AS n FROM cut WHERE host IS NOT NULL GROUP BY ho
 seen AS (SELECT host, line, count(*) AS n FROM (
   SELECT host, unnest(list_distinct(lines)) AS line FROM cut WHERE host IS NOT NULL) GROUP BY host, line),
 dropped AS (SELECT s.host, list(s.line) AS gone FROM seen s JOIN total t USING (host)
-  WHERE s.n > {ratio} * t.n GROUP BY s.host),
+  WHERE s.n > {ratio} * t.n AND s.n >= {copies} GROUP BY s.host),
 kept AS (SELECT page_id, c.host, lines,
   [x FOR x IN lines IF NOT list_contains(coalesce(gone, []), x)] AS stay
   FROM cut c LEFT JOIN dropped d ON c.host = d.host)

@@ -119,6 +119,11 @@ def test_decontamination(spark, documents):
     clean = dc.clean_documents(documents(rows), benchmark)
     assert clean.columns == documents(rows).columns
     assert {r.doc_id for r in clean.collect() if r.doc_id is not None} == {r[0] for r in rows if r[0] is not None} - set(planted)
+    dirty = next(t for k, t, _ in rows if k == min(planted))
+    odd = [(None, dirty, "s"), (None, "kept words", "s"), (7, dirty, "s"), (7, "other words", "s"), (8, None, "s")]
+    left = dc.clean_documents(documents(odd), benchmark).collect()
+    assert sorted((str(r.doc_id), r.text) for r in left if r.text) == [("7", "other words"), ("None", "kept words")] and len(left) == 3
+    assert dc.clean_documents(documents([]), benchmark).collect() == []
     assert dc.contaminated(documents([]), benchmark).collect() == [] == dc.contaminated(documents(rows), benchmark.limit(0)).collect()
 
 

@@ -206,9 +206,9 @@ def test_line_dedup_sql(spark):
 
 
 def test_line_dedup_keeps_lines_of_one_page(spark):
-    """Hosts of 1 to 6 pages: with two copies asked for, only the shared line goes."""
+    """Hosts of 1 to 6 pages: only the shared line goes."""
     rows = [(10 * n + i, f"http://h{n}.org/{i}", f"<p>menu</p><p>own {i}</p>") for n in range(1, 7) for i in range(n)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for r in lines.without_boilerplate(pages, copies=2).collect():
+    for r in lines.without_boilerplate(pages).collect():
         n, i = divmod(r.page_id, 10)
         assert r.text == (f"own {i}" if n >= 3 else f"menu\nown {i}")
