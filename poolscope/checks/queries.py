@@ -17,6 +17,7 @@ from poolscope.operators import archive, catalogue, changes, lifecycle, stanzas
 from poolscope.operators.detectors import (
     archives as da, collisions as dc, dependencies as dd, libraries as dl, sources as ds,
 )
+from poolscope.plans import views
 from poolscope.plans.analyze import Tables, derive, detect_all
 from poolscope.plans.commits import Committed
 from poolscope.plans.storage import fresh_path, stored
@@ -456,6 +457,37 @@ def _(fx):
     return breaks(fx)
 
 
+@query("views_refreshed", """
+SELECT 'latest' AS view, package, version, repo, filename AS a, CAST(NULL AS VARCHAR) AS b, CAST(NULL AS VARCHAR) AS c FROM ox_latest
+UNION ALL SELECT 'atoms', package, version, repo, relationship || ' ' || CAST(nr AS VARCHAR), deppkg, depver FROM ox_atoms
+UNION ALL SELECT 'breaks', package, sover, repo, soname, dep_package || ' ' || dep_repo || ' ' || sodepver, dep_version FROM ox_breaks""")
+def _(fx):
+    """Views of an earlier catalogue, refreshed by inserted, replaced and deleted packages."""
+    every, s = kept_packages(fx), F.col("size")
+    gone = changes.with_version_key(every.filter(s % 7 == 0).withColumn("version", F.concat("version", F.lit(".9"))), strict=False)
+    fresh, replaced = every.filter(s % 13 == 0), every.filter((s % 11 == 0) & (s % 13 > 0))
+    unreadable = F.when(s % 11 == 0, F.lit(None)).otherwise(F.col("debtime"))
+    earlier = stored(every.filter(s % 13 > 0).withColumn("debtime", unreadable).unionByName(gone), "earlier-packages")
+    dependencies, sodep = stored(fx.dependencies, "dependencies"), stored(fx.sodep, "sodep")
+    known = earlier.select(*PACKAGE_KEY)
+    before = views.Sources(
+        earlier, dependencies.join(known, PACKAGE_KEY, "left_semi"), sodep.join(known, PACKAGE_KEY, "left_semi"),
+        fx.repos, fx.issues_prev,
+    )
+    after = views.Sources(every, dependencies, sodep, fx.repos, fx.issues_prev)
+    changed_keys = fresh.select(*PACKAGE_KEY).unionByName(replaced.select(*PACKAGE_KEY)).unionByName(gone.select(*PACKAGE_KEY))
+    mark = catalogue.max_modified(fx.repos)
+    now_ = views.refresh(views.build(before), before, after, changed_keys, mark.withColumn("modified", F.col("modified") - 1), mark)
+    none = F.lit(None).cast("string")
+    return now_.latest.select(F.lit("latest").alias("view"), *PACKAGE_KEY, F.col("filename").alias("a"), none.alias("b"), none.alias("c")).union(
+        now_.atoms.select(F.lit("atoms"), *PACKAGE_KEY, F.concat_ws(" ", "relationship", F.col("nr").cast("string")), "deppkg", "depver")
+    ).union(
+        now_.breaks.select(
+            F.lit("breaks"), "package", "sover", "repo", "soname", F.concat_ws(" ", "dep_package", "dep_repo", "sodepver"), "dep_version"
+        )
+    )
+
+
 @query("soname_break_order", """
 SELECT p.package, p.dep_package, coalesce(string_agg(o.dep_package, ' ' ORDER BY o.dep_package) FILTER (WHERE d.later IS NOT NULL), '') AS deplist
 FROM ox_pairs p JOIN ox_pairs o USING (package)

@@ -8,10 +8,6 @@ import pytest
 import __spark_entry__ as contract
 
 SF = "/root/testdata/sf0.001"
-CHOSEN = (
-    "version_key", "latest_packages", "dependency_atoms", "compatible_repos_soname", "i102", "i302",
-    "i411", "i421", "i431", "merge_issues", "issue_stats", "classify_changes", "contents_index",
-)
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
@@ -32,7 +28,7 @@ def test_entry(spark):
     assert contract.entry(spark).columns == ["package", "version", "repo", "architecture", "filename", "size", "vk"]
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", sorted(contract.library_queries()))
 def test_matches_duckdb(spark, duck, name):
     df = contract.queries()[name](spark, SF)
     columns = sorted(df.columns)

@@ -142,3 +142,21 @@ def test_recorded_run_counts_once(spark, make, tmp_path):
             an.record(issues, stats, table, history, now(), run)
     assert rows(table.read(0), "package") == [("a",)] and rows(table.read(), "package") == [("a",), ("b",)]
     assert rows(history.read().filter("repo = '' and errno = 303"), "cnt") == [(1,), (2,)]
+
+
+def test_views_stay_where_nothing_was_modified(spark, make):
+    from poolscope.plans import views
+
+    repos = make("repos", [{"name": "amd64/stable", "architecture": "amd64", "component": "main", "testing": 0, "path": "stable/main", "branch": "stable"}])
+    def source(*items):
+        return views.Sources(with_version_key(make("packages", list(items))), make("dependencies", [
+            {"package": "a", "version": v, "repo": "amd64/stable", "relationship": "Depends", "value": f"x{v}"} for v in "12"]), make("sodep", []), repos)
+
+    before, after = source(file("a", "1", "a1"), file("b", "1", "b1")), source(file("a", "1", "a1"), file("a", "2", "a2"))
+    first = views.build(before)
+    at = [spark.createDataFrame([(n,)], "modified long") for n in (5, 6)]
+    changed = make("packages", [file("a", "2", "a2"), file("b", "1", "b1")])
+    assert views.refresh(first, before, after, changed, at[0], at[0]) is first
+    later, whole = views.refresh(first, before, after, changed, *at), views.build(after)
+    assert rows(later.latest, "filename") == rows(whole.latest, "filename") == [("a2",)]
+    assert rows(later.atoms, "package", "deppkg") == rows(whole.atoms, "package", "deppkg") == [("a", "x2")]
