@@ -8,6 +8,12 @@ import pytest
 import __spark_entry__ as contract
 
 SF = "/root/testdata/sf0.001"
+# Rows that have results at the smallest scale, where some detectors find nothing.
+NOT_EMPTY = (
+    "version_key", "latest_packages", "dependency_atoms", "compatible_repos_soname", "i102", "i302",
+    "i411", "i421", "i431", "merge_issues", "issue_stats", "classify_changes", "contents_index",
+    "stream_changes", "stream_snapshot_merge", "committed_change_events", "views_refreshed", "version_key_long",
+)
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
@@ -37,4 +43,4 @@ def test_matches_duckdb(spark, duck, name):
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     want = sorted(repr(tuple(r[names.index(c)] for c in columns)) for r in result.fetchall())
-    assert got == want and got
+    assert got == want and (got or name not in NOT_EMPTY)
