@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.errors import StreamingQueryException
@@ -20,7 +21,10 @@ from poolscope.operators.detectors import (
 from poolscope.plans import views
 from poolscope.plans.analyze import Tables, derive, detect_all
 from poolscope.plans.commits import Committed
+from poolscope.plans.history import History
+from poolscope.plans.publish import publish
 from poolscope.plans.storage import fresh_path, stored
+from poolscope.plans.sync import Source, sync
 from poolscope.schemas import PACKAGE_KEY
 from poolscope.sinks import index
 from poolscope.sources import branches, inventory, snapshots
@@ -279,6 +283,22 @@ def _(fx):
     )
 
 
+@query("read_stanzas_ranges", """
+SELECT package, count(*) AS n, min(version) AS first_version, max(section) AS last_section FROM fx_packages GROUP BY package""")
+def _(fx):
+    """Files of both line ends, cut into ranges that end anywhere in a paragraph."""
+    folder = fresh_folder(fx, "stanza-ranges")
+    lf = F.concat("text", F.when(F.length("package") % 2 == 0, F.lit("\n\n")).otherwise(F.lit("\n \t\n")))
+    windows = F.length("version") % 2 == 0
+    fx.stanza_text.filter(~windows).select(lf).write.text(f"{folder}/lf", lineSep="\n")
+    fx.stanza_text.filter(windows).select(F.replace(lf, F.lit("\n"), F.lit("\r\n"))).write.text(f"{folder}/crlf", lineSep="\r\n")
+    read = stanza_source.read_stanzas(fx.spark, folder, ["Package", "Version", "Section"], range_bytes=100_003)
+    return read.groupBy(F.col("fields")["package"].alias("package")).agg(
+        F.count("*").alias("n"), F.min(F.col("fields")["version"]).alias("first_version"),
+        F.max(F.col("fields")["section"]).alias("last_section"),
+    )
+
+
 @query("strip_clearsign", """
 SELECT package, version, repo, 'Package: ' || package || chr(10) || 'Version: ' || version AS payload FROM fx_packages""")
 def _(fx):
@@ -864,6 +884,28 @@ def _(fx):
     return lifecycle.append_if_changed(older.unionByName(newer), st)
 
 
+_SAID = [dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 20), dt.datetime(2020, 3, 5)]
+_ASKED = [dt.datetime(2020, 1, 20) - dt.timedelta(seconds=1), dt.datetime(2020, 2, 1), dt.datetime(2020, 3, 5)]
+
+
+@query("stats_as_of", """
+SELECT 0 AS asked, repo, errno, cnt, total, '2020-01-01 00:00:00' AS since FROM ox_stats
+UNION ALL SELECT 1, repo, errno, cnt + errno % 2, total, CASE WHEN errno % 2 = 1 THEN '2020-01-20 00:00:00' ELSE '2020-01-01 00:00:00' END FROM ox_stats
+UNION ALL SELECT 2, repo, errno, cnt + errno % 2, total, CASE WHEN errno % 2 = 1 THEN '2020-01-20 00:00:00' ELSE '2020-01-01 00:00:00' END FROM ox_stats WHERE errno % 3 <> 0""",
+    ox_stats=_STATS)
+def _(fx):
+    """Statistics recorded three times, the second time twice; then asked for at three times."""
+    st = stored(stats(fx), "stats")
+    more = st.withColumn("cnt", F.col("cnt") + F.col("errno") % 2)
+    history = History(fx.spark, fresh_folder(fx, "stats-history"), st.schema, ("repo", "errno"))
+    for batch, said in ((0, st), (1, more), (1, more), (2, more.filter("errno % 3 <> 0"))):
+        history.record(said, F.lit(str(_SAID[batch])), "stats", batch)
+    held = [history.as_of(t).withColumn("asked", F.lit(i)) for i, t in enumerate(_ASKED)]
+    return held[0].unionByName(held[1]).unionByName(held[2]).select(
+        "asked", "repo", "errno", "cnt", "total", F.col("valid_from").cast("string").alias("since")
+    )
+
+
 # ---- changes and catalogue upkeep ----------------------------------------
 
 _DIFF = """
@@ -1188,6 +1230,65 @@ def _(fx):
     return index.stale_branches(modified.select("branch", F.lit(2).alias("renew_in")), modified, released, first)
 
 
+_PUBLISHED_FILES = f"""
+SELECT branch, name || ending AS name, value FROM (
+  SELECT r.branch, r.component || '/binary-' || p.architecture || '/Packages' AS name, string_agg({_STANZA} || chr(10), '' ORDER BY p.package, p.version, p.repo) AS value
+  FROM ox_described p JOIN fx_repos r ON r.name = p.repo LEFT JOIN (
+    SELECT package, version, repo, string_agg(relationship || ': ' || value || chr(10), '' ORDER BY relationship) AS relations FROM fx_dependencies GROUP BY package, version, repo) d
+  ON d.package = p.package AND d.version = p.version AND d.repo = p.repo WHERE p.debtime IS NOT NULL GROUP BY r.branch, r.component, p.architecture
+  UNION ALL SELECT split_part(repo_path, '/', 1), split_part(repo_path, '/', 2) || '/Contents-' || architecture, string_agg(line, '' ORDER BY line) FROM (
+    SELECT repo_path, architecture, CASE WHEN length(file) < 55 THEN rpad(file, 55, ' ') ELSE file END || ' ' || packages || chr(10) AS line FROM ({_CONTENTS}))
+  GROUP BY repo_path, architecture) CROSS JOIN (SELECT unnest(['', '.gz']) AS ending)"""
+
+
+@query("release_run", _PUBLISHED_FILES, ox_described="""
+SELECT * REPLACE (CASE WHEN r.branch = 'stable' THEN 'old' ELSE p.description END AS description) FROM fx_packages p JOIN (SELECT name, branch FROM fx_repos) r ON r.name = p.repo""")
+def _(fx):
+    """Whole texts of published files after two runs; the second leaves a fresh branch alone."""
+    names = fx.repos.select("branch").distinct()
+    conf = branches.branch_dimension(names, {"codename": "cn", "desc": "Branch %BRANCH%", "label": "lb", "origin": "og", "ttl": 10, "renew_in": 2})
+    target = fresh_folder(fx, "published")
+    tables = {"repos": fx.repos, "packages": with_sha(fx.packages), "dependencies": fx.dependencies, "files": fx.files}
+    at = F.make_timestamp(*[F.lit(x) for x in (2020, 1, 1, 0, 0, 0)], F.lit("UTC"))
+    none = fx.spark.createDataFrame([], "branch string, released bigint, valid_until bigint")
+    publish(fx.spark, tables | {"packages": tables["packages"].withColumn("description", F.lit("old"))}, conf, none, at, target)
+    fresh = names.filter("branch = 'stable'").select("branch", F.unix_seconds(at).alias("released"), (F.unix_seconds(at) + 864000).alias("valid_until"))
+    publish(fx.spark, tables, conf, fresh, at, target)
+    texts = fx.spark.read.text(target, wholetext=True, recursiveFileLookup=True)
+    place = F.split(F.col("_metadata.file_path"), f"{target.rsplit('/', 1)[1]}/")[1]
+    return texts.select(
+        F.split(place, "/", 2)[0].alias("branch"), F.split(place, "/", 2)[1].alias("name"), "value"
+    ).filter("name <> 'Release' AND value <> ''")
+
+
+# ---- copies of remote tables ---------------------------------------------
+
+@query("sync_run", """
+SELECT r.branch AS source, 'kept' AS origin, p.* FROM fx_packages p JOIN (SELECT name, branch FROM fx_repos) r ON r.name = p.repo WHERE r.branch <> 'stable' OR p.size % 50 <> 0""".replace(
+    "p.*", "p.package, p.version, p.repo, p.size, p.section, CAST(p.mtime AS VARCHAR) AS mtime"))
+def _(fx):
+    """Two runs over a source whose etag stays, one that changed and one that is new in the second."""
+    place = fx.repos.select(F.col("name").alias("repo"), "branch")
+    rows = stored(fx.packages.join(place, "repo"), "remote-packages")
+    keys, folder = tuple(PACKAGE_KEY), fresh_folder(fx, "synced")
+
+    def remote(branch: str, some: str) -> Source:
+        own = rows.filter((F.col("branch") == branch) & F.expr(some)).drop("branch")
+        return Source(own, keys, {"origin": F.lit("kept")}, buckets=8)
+
+    for etag, some, found in (("1", "size % 50 <> 0", ("stable", "testing")), ("2", "true", ("stable", "testing", "explosive"))):
+        listing = fx.spark.createDataFrame([(b, "1" if b == "stable" else etag) for b in found], "name string, etag string")
+        copied = sync(fx.spark, {b: remote(b, some) for b in found}, listing, folder, now())
+        assert set(copied) == set(found) - ({"stable"} if etag == "2" else set())
+    held = [
+        Committed(fx.spark, f"{folder}/{b}", remote(b, "true").full().schema, keys, 8).read().withColumn("source", F.lit(b))
+        for b in ("stable", "testing", "explosive")
+    ]
+    return held[0].unionByName(held[1]).unionByName(held[2]).select(
+        "source", "origin", *PACKAGE_KEY, "size", "section", *text_of("mtime")
+    )
+
+
 # ---- stanza operators ----------------------------------------------------
 
 @query("parse_relations", f"""
