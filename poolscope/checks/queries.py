@@ -21,6 +21,7 @@ from poolscope.operators.detectors import (
 from poolscope.plans import views
 from poolscope.plans.analyze import Tables, derive, detect_all
 from poolscope.plans.commits import Committed
+from poolscope.plans.gc import gc
 from poolscope.plans.history import History
 from poolscope.plans.publish import publish
 from poolscope.plans.storage import fresh_path, stored
@@ -1120,6 +1121,34 @@ def _(fx):
     return kept["packages"].groupBy("repo").agg(F.count("*").alias("n"))
 
 
+_GC_TABLES = ("packages", "duplicates", "dependencies", "sodep", "files")
+_GC_COUNTS = " UNION ALL ".join([
+    *[f"SELECT '{t}' AS tab, r.path, r.testing, count(*) AS n FROM fx_{t} t JOIN fx_repos r ON r.name = t.repo GROUP BY r.path, r.testing" for t in _GC_TABLES],
+    "SELECT 'repos', path, testing, count(*) FROM fx_repos GROUP BY path, testing",
+])
+
+
+@query("gc_run", f"""
+SELECT step, tab, path, CAST(sum(n) AS BIGINT) AS n FROM ({_GC_COUNTS}) c
+JOIN (VALUES ('dry', true), ('removed', true), ('left', false)) s(step, missing) ON s.missing = (c.testing <> 0) GROUP BY step, tab, path""")
+def _(fx):
+    """A dry run, a run and what is left, over all tables; only stable folders are still there."""
+    held = {name: getattr(fx, name) for name in (*_GC_TABLES, "repos")}
+    tables = {n: Committed(fx.spark, fresh_folder(fx, f"gc-{n}"), df.schema) for n, df in held.items()}
+    for name, table in tables.items():
+        table.append(held[name])
+    there = fx.repos.filter("testing = 0").select("path")
+    dry = gc(tables, there, dry_run=True).withColumn("step", F.lit("dry"))
+    removed = gc(tables, there).withColumn("step", F.lit("removed"))
+    place = fx.repos.select(F.col("name").alias("repo"), "path")
+    steps = dry.unionByName(removed)
+    for name, table in tables.items():
+        rows = table.read() if name == "repos" else table.read().select("repo").join(place, "repo")
+        left = rows.groupBy("path").agg(F.count("*").alias("n")).select(F.lit("left").alias("step"), F.lit(name).alias("tab"), "path", "n")
+        steps = steps.unionByName(left)
+    return steps.select("step", "tab", "path", "n")
+
+
 # ---- published indexes ---------------------------------------------------
 
 def with_sha(df: DataFrame) -> DataFrame:

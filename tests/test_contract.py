@@ -13,7 +13,7 @@ NOT_EMPTY = (
     "version_key", "latest_packages", "dependency_atoms", "compatible_repos_soname", "i102", "i302",
     "i411", "i421", "i431", "merge_issues", "issue_stats", "classify_changes", "contents_index",
     "stream_changes", "stream_snapshot_merge", "committed_change_events", "views_refreshed", "version_key_long", "read_stanzas_ranges",
-    "stats_as_of", "release_run", "sync_run",
+    "stats_as_of", "release_run", "sync_run", "gc_run",
 )
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
