@@ -1261,7 +1261,7 @@ def _(fx):
 
 _PUBLISHED_FILES = f"""
 SELECT branch, name || ending AS name, value FROM (
-  SELECT r.branch, r.component || '/binary-' || p.architecture || '/Packages' AS name, string_agg({_STANZA} || chr(10), '' ORDER BY p.package, p.version, p.repo) AS value
+  SELECT r.branch, r.component || '/binary-' || p.architecture || '/Packages' AS name, string_agg({_STANZA} || chr(10), '' ORDER BY p.package, p.version, {_STANZA}) AS value
   FROM ox_described p JOIN fx_repos r ON r.name = p.repo LEFT JOIN (
     SELECT package, version, repo, string_agg(relationship || ': ' || value || chr(10), '' ORDER BY relationship) AS relations FROM fx_dependencies GROUP BY package, version, repo) d
   ON d.package = p.package AND d.version = p.version AND d.repo = p.repo WHERE p.debtime IS NOT NULL GROUP BY r.branch, r.component, p.architecture
