@@ -23,7 +23,9 @@ from poolscope.plans.analyze import Tables, derive, detect_all
 from poolscope.plans.commits import Committed
 from poolscope.plans.gc import gc
 from poolscope.plans.history import History
+from poolscope.plans.pathindex import PathIndex
 from poolscope.plans.publish import publish
+from poolscope.plans.sizes import SizeCounts
 from poolscope.plans.storage import fresh_path, stored
 from poolscope.plans.sync import Source, sync
 from poolscope.schemas import PACKAGE_KEY
@@ -616,6 +618,21 @@ def _(fx):
     return da.detect_302(every, catalogue.latest_packages(every))
 
 
+@query("i302_changed", _all(302) + " SEMI JOIN ox_new_latest USING (package, version, repo)")
+def _(fx):
+    """Medians over all rows from stored counts: a scan, recorded twice, brings rows and replaces some."""
+    every = kept_packages(fx)
+    arrived = lifecycle.changed_since(every, fx.issues_prev)
+    earlier = every.join(arrived.select("filename"), "filename", "left_anti")
+    replaced = arrived.withColumn("size", F.col("size") + 7)
+    sizes = SizeCounts(fx.spark, fresh_folder(fx, "sizes"), 16)
+    sizes.record(earlier.unionByName(replaced), writer="scan", batch=0)
+    for _ in range(2):
+        sizes.record(arrived, replaced, "scan", 1)
+    fresh = stored(lifecycle.changed_since(kept_latest(fx), fx.issues_prev), "changed-latest")
+    return da.detect_302(arrived, fresh, sizes.medians(fresh))
+
+
 @query("i303", _all(303))
 def _(fx):
     return da.detect_303(fx.packages, fx.repos)
@@ -709,6 +726,23 @@ def _(fx):
     )
 
 
+@query("i421_indexed", _all("421_changed"))
+def _(fx):
+    """The other owners come from a stored index; the changed packages replace files of their own."""
+    new = kept_latest(fx)
+    changed = stored(lifecycle.changed_since(new, fx.issues_prev), "changed-latest")
+    own = changed.select(*PACKAGE_KEY)
+    arrived = stored(fx.files.join(own, PACKAGE_KEY, "left_semi"), "arrived-files")
+    earlier = fx.files.join(own, PACKAGE_KEY, "left_anti")
+    replaced = arrived.withColumns({"path": F.lit("usr/bin"), "name": F.lit("README")})
+    paths = PathIndex(fx.spark, fresh_folder(fx, "paths"), buckets=64, bits=1 << 16)
+    paths.record(earlier.unionByName(replaced), writer="scan", batch=0)
+    owners = stored(paths.touched_owners(arrived, replaced), "touched-owners")
+    for _ in range(2):
+        paths.record(arrived, replaced, "scan", 1)
+    return dc.detect_421(owners, new, fx.repos, catalogue.dependency_atoms(fx.dependencies, new), changed)
+
+
 @query("i431", _all(431))
 def _(fx):
     return dl.detect_431(fx.sodep, kept_latest(fx), fx.repos, fx.source_deps)

@@ -68,16 +68,25 @@ def first_ranks(
 def grouped_median(
     df: DataFrame, key: str, value: str, out: str, shift: int = 20
 ) -> DataFrame:
-    """Exact interpolated median of a non-negative integer per key.
+    """Exact interpolated median of a non-negative integer per key."""
+    rows = df.filter(F.col(value).isNotNull()).select(key, value, F.lit(1).cast("long").alias("_n"))
+    return counted_median(rows, key, value, "_n", out, shift)
 
-    Counts go by coarse value range first; only the one or two ranges around the
-    middle are then counted by value. A window therefore covers the ranges of a
+
+def counted_median(
+    df: DataFrame, key: str, value: str, count: str, out: str, shift: int = 20
+) -> DataFrame:
+    """Exact interpolated median per key of values that stand for ``count`` rows each.
+
+    Counts of one value add up and may be negative; values without rows left do not
+    take part. Counts go by coarse value range first; only the one or two ranges around
+    the middle are then counted by value. A window therefore covers the ranges of a
     key, or the values of one range (at most ``2**shift``), never its rows.
     """
     counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(key, value)
-        .agg(F.count("*").alias("_n"))
+        df.groupBy(key, value)
+        .agg(F.sum(count).alias("_n"))
+        .filter("_n > 0")
         .withColumn("_range", F.shiftright(value, shift))
     )
     ranges = counts.groupBy(key, "_range").agg(F.sum("_n").alias("_rn"))

@@ -35,11 +35,16 @@ def detect_301(packages: DataFrame) -> DataFrame:
     return findings(bad, 301, F.col("filename"), fields(size="size"))
 
 
-def detect_302(packages: DataFrame, latest: DataFrame) -> DataFrame:
-    """Files below a third of the package's median size."""
-    median = grouped_median(
-        packages.filter(F.col("debtime").isNotNull()), "package", "size", "medsize"
-    )
+def detect_302(packages: DataFrame, latest: DataFrame, median: DataFrame | None = None) -> DataFrame:
+    """Files below a third of the package's median size.
+
+    The median is that of ``packages``, or a given one (package, medsize), such as the
+    stored counts of ``poolscope.plans.sizes`` give it over all rows.
+    """
+    if median is None:
+        median = grouped_median(
+            packages.filter(F.col("debtime").isNotNull()), "package", "size", "medsize"
+        )
     small = (
         latest.filter(F.col("debtime").isNotNull() & (F.col("size") < SMALL_FILE_LIMIT))
         .join(median, "package")

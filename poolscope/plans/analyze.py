@@ -13,7 +13,10 @@ from poolscope.operators.detectors import (
     archives, collisions, dependencies, libraries, sources,
 )
 from poolscope.plans.commits import Committed
+from poolscope.plans.pathindex import PathIndex
+from poolscope.plans.sizes import SizeCounts
 from poolscope.plans.storage import stored
+from poolscope.schemas import PACKAGE_KEY
 
 
 @dataclass
@@ -79,9 +82,16 @@ def derive(t: Tables, full: bool = False) -> Views:
 def detect_all(
     t: Tables, v: Views, core_tree: str, placeholder: str | None = None,
     exempt: tuple[str, ...] = (), strict_compat: bool = False, or_groups: bool = False,
-    which: set[int] | None = None,
+    which: set[int] | None = None, sizes: SizeCounts | None = None, paths: PathIndex | None = None,
+    arrived: DataFrame | None = None,
 ) -> DataFrame:
-    """Findings of all detectors, or of those in ``which``."""
+    """Findings of all detectors, or of those in ``which``.
+
+    With ``sizes`` the median of 302 covers all rows in every run, without it those
+    examined. With ``paths``, an index that holds what ``files`` does, an incremental 421 takes the
+    other owners of changed paths from its buckets; ``arrived`` has the files of the changed latest
+    packages where the caller has them at hand, otherwise they are picked from ``files``.
+    """
     new, changed = v.latest, v.changed_latest
     scripts = (t.basherr, t.package_rel, t.marks, t.trees, t.source_versions, t.sources)
 
@@ -93,12 +103,18 @@ def detect_all(
         users = changed.select("package").join(outside, "package", "left_semi")
         return libraries.dependency_closure(edges, v.breaks, users=users)
 
+    def owners() -> DataFrame:
+        mine = t.files if arrived is None else arrived
+        return paths.touched_owners(mine.join(changed.select(*PACKAGE_KEY), PACKAGE_KEY, "left_semi"))
+
     detectors = {
         101: lambda: sources.detect_101(*scripts),
         102: lambda: sources.detect_102(*scripts),
         103: lambda: sources.detect_103(t.sources, t.source_versions, t.tree_branches),
         301: lambda: archives.detect_301(v.changed_packages),
-        302: lambda: archives.detect_302(v.changed_packages, changed),
+        302: lambda: archives.detect_302(
+            v.changed_packages, changed, None if sizes is None else sizes.medians(changed)
+        ),
         303: lambda: archives.detect_303(v.changed_packages, t.repos),
         311: lambda: archives.detect_311(
             changed, t.repos, t.sources, t.tree_branches, t.source_versions, placeholder
@@ -114,7 +130,8 @@ def detect_all(
         411: lambda: dependencies.detect_411(v.atoms, new, t.repos, strict_compat, or_groups),
         412: lambda: archives.detect_412(t.duplicates, v.changed_packages),
         421: lambda: collisions.detect_421(
-            t.files, new, t.repos, v.atoms, None if v.full else changed
+            t.files if v.full or paths is None else owners(),
+            new, t.repos, v.atoms, None if v.full else changed,
         ),
         431: lambda: libraries.detect_431(t.sodep, new, t.repos, t.source_deps, strict_compat),
         432: lambda: libraries.detect_432(

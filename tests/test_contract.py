@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 # Rows that have results at the smallest scale, where some detectors find nothing.
 NOT_EMPTY = (
     "version_key", "latest_packages", "dependency_atoms", "compatible_repos_soname", "i102", "i302",
-    "i411", "i421", "i431", "merge_issues", "issue_stats", "classify_changes", "contents_index",
+    "i302_changed", "i411", "i421", "i421_indexed", "i431", "merge_issues", "issue_stats", "classify_changes", "contents_index",
     "stream_changes", "stream_snapshot_merge", "committed_change_events", "views_refreshed", "version_key_long", "read_stanzas_ranges",
     "stats_as_of", "release_run", "sync_run", "gc_run",
 )
