@@ -11,32 +11,38 @@ from poolscope.llm import decontamination, jaccard, mixing, quality, tokens
 from poolscope.llm.tables import fresh_path, join_by_size, stored
 from poolscope.llm.workers import reachable
 
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents the quality classifier rejects."""
     return quality.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+ROW = "pipeline_row_hash"
+
+
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near copies, and rows without an id.
+    """Keep one document of each group of near copies, the one of smallest id.
 
-    Repeated rows of one id are copies of each other; one of them stays.
+    Rows are told apart by id and text together (a 64-bit hash), so different texts under one id are
+    judged each by itself; where several of them share the group's smallest id, that of the least hash
+    stays. Of repeated rows of one id and text one stays. Rows without an id stay and
+    link nothing, as do rows without words, but for repeats. Empty table: empty result.
     """
-    groups = jaccard.jaccard_components(docs).filter("doc_id is not null")
-    repeated = F.count("*").over(_by_id()).alias("rows")
-    groups = stored(groups.select("doc_id", "component_id", repeated).distinct(), "pipeline-groups")
-    gone = stored(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "pipeline-copies")
-    kept = join_by_size(docs, gone, "doc_id", "left_anti")
-    again = stored(groups.filter("doc_id = component_id and rows > 1").select("doc_id").distinct(), "pipeline-repeated")
+    hashed = docs.withColumn(ROW, F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    groups = jaccard.jaccard_components(hashed.select(F.col(ROW).alias("doc_id"), "text")).filter("doc_id is not null")
+    groups = groups.groupBy(F.col("doc_id").alias(ROW), "component_id").agg(F.count("*").alias("rows"))
+    ids = hashed.filter(f"{ROW} is not null").groupBy(ROW).agg(F.min("doc_id").alias("id"))
+    groups = stored(groups.join(ids, ROW), "pipeline-groups")
+    # A row per group, which any number of copies reaches by partial aggregation.
+    stays = groups.groupBy("component_id").agg(F.min(F.struct("id", ROW)).alias("least")).select(f"least.{ROW}")
+    stays = stored(stays, "pipeline-stays")
+    gone = stored(groups.join(stays, ROW, "left_anti").select(ROW), "pipeline-copies")
+    kept = join_by_size(hashed, gone, ROW, "left_anti")
+    again = stored(groups.filter("rows > 1").join(stays, ROW, "left_semi").select(ROW), "pipeline-repeated")
     if again.isEmpty():
-        return kept
-    once = join_by_size(kept, again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return join_by_size(kept, again, "doc_id", "left_anti").unionByName(once)
-
-
-def _by_id():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id")
+        return kept.drop(ROW)
+    once = join_by_size(kept, again, ROW, "left_semi").dropDuplicates([ROW])
+    return join_by_size(kept, again, ROW, "left_anti").unionByName(once).drop(ROW)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
