@@ -191,3 +191,29 @@ def test_pipeline_keeps_one_of_repeated_rows(spark, documents):
     docs = documents([(5, text, "a"), (5, text, "a"), (9, text, "b"), (None, text, "c"), (11, "", "a"), (12, None, "a")])
     out = corpus_pipeline.jaccard_stage(spark, docs, "")
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 5), (False, 11), (False, 12), (True, 0)]
+
+
+def test_pipeline_tells_texts_of_one_id_apart(spark, documents):
+    rng = random.Random(2)
+    shared, own, other = prose(rng, 80), prose(rng, 60), prose(rng, 60)
+    near = shared.split()
+    near[40] = "changed"
+    near = " ".join(near)
+    docs = documents([
+        (3, shared, "a"), (7, near, "a"), (7, own, "b"), (7, other, "b"), (7, other, "b"),  # one copy, two texts of their own
+        (8, own, "a"), (2, prose(rng, 60), "a"), (2, prose(rng, 60), "a"),
+    ])
+    kept = corpus_pipeline.jaccard_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id, r.text) for r in kept.collect())
+    assert [i for i, _ in got] == [2, 2, 3, 7, 7]
+    assert (3, shared) in got and (7, near) not in got and {t for i, t in got if i == 7} == {own, other}
+
+
+def test_pipeline_stages_on_an_empty_table(spark, documents, tmp_path):
+    labels = [(1, 0, 1), (2, 1, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "a b c")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = documents([(1, "x y", "a")]).filter("doc_id > 1")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).isEmpty(), name
