@@ -84,3 +84,10 @@ def test_break_order(spark, make):
     ])
     got = dict(((p, d), l) for p, d, l in rows(c.soname_break_order(breaks, deps)))
     assert got == {("lib", "a"): ["b", "c"], ("lib", "b"): [], ("lib", "c"): [], ("a", "b"): []}
+
+
+def test_atoms_are_parsed_once(spark, make):
+    dep = spark.createDataFrame([("a", "1", "r", "Depends", "b (>= 1) | c")], "package string, version string, repo string, relationship string, value string")
+    atoms = c.dependency_atoms(dep, make("packages", [{"package": "a", "version": "1", "repo": "r"}]))
+    plan = atoms.filter("deppkg IS NOT NULL")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("<>=]+") == 1
