@@ -13,8 +13,8 @@ Parquet's statistics prune, and unpacked from its bit offset alone.
 Texts are encoded where they are read; their ids, not the texts, are dealt by ranges of
 doc_id, whose bounds come from the ids alone, and sorted inside a range. ``by_word=True``
 encodes each word once and remembers it. That is right only for tokenizers that drop white space, never
-join across it, lower-case A-Z and cut before points and commas, as ``TOKENIZER`` does; others
-need the default, which encodes whole texts.
+join across it, lower-case A-Z and U+00C0 to U+00DE, cut words of ``LETTERS`` nowhere and cut between an
+ASCII letter or digit and ASCII punctuation, as ``TOKENIZER`` does; others need the default, which encodes whole texts.
 
 Defined results: null text: only the end id. Null doc_ids come first; rows of one id, and those
 without one, are in order of their token ids' bytes. Repeated rows: one entry each. Empty
@@ -24,12 +24,15 @@ ignored.
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
 from array import array
-from itertools import chain, compress
+from itertools import compress, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +46,10 @@ BLOCK = 1 << 16
 REMEMBERED = 800_000
 REMEMBERED_BYTES = 32 << 20
 TOGETHER = 1000
-PIECE = 96
+PIECE_BYTES = 1 << 20
+PUNCTUATION = string.punctuation.encode()
+#: Words of one script in composed form, which normalizing only lower-cases: a-z and the letters U+00C0 to U+00FF.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 
 FORMAT = (
     "shard int, block int, first long, least long, most long, doc_ids array<long>,"
@@ -90,10 +96,12 @@ def unpacked(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
 class Encoder:
     """Ids of texts.
 
-    Words not met before that are letters a-z go to the tokenizer's model, which has them whole;
-    the others are encoded many at a time, with a special token of the tokenizer between
-    them, which it never joins with its neighbours. A word is a core and a tail of points and
-    commas; each of these parts has its ids in one growing array.
+    Words not met before are encoded many at a time. Those of Latin letters alone (``LETTERS``) skip
+    the tokenizer's normalizer and regular expressions, which leave them whole: its model gets them
+    through its byte alphabet, and the model's suffix of a word's last token tells them apart.
+    The others are encoded with a special token of the tokenizer between
+    them, which it never joins with its neighbours. A word is a core and a tail of
+    punctuation; each of these parts has its ids in one growing array.
     """
 
     _ready: dict[tuple[str, bool], Encoder] = {}
@@ -106,8 +114,25 @@ class Encoder:
         plain = [(i, t.content) for i, t in sorted(added.items()) if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
         self.cut = plain[0] if plain else None
         self.marks = {c.encode() for t in added.values() for c in t.content if not c.isalnum()}
+        self.plain, self.last = self._plain()
         self._forget()
 
+    def _plain(self):
+        """The tokenizer without normalizer and cutting, and which ids end a word; None where its model does not mark them."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None, None
+        plain = Tokenizer(self.tokenizer.model)
+        plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        last = np.zeros(max(vocabulary.values()) + 1, bool)
+        last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        return plain, last
+
     @classmethod
     def of(cls, path: str, by_word: bool) -> Encoder:
         """One per Python worker, which keeps the words it remembers for later tasks."""
@@ -116,27 +141,32 @@ class Encoder:
         return cls._ready[path, by_word]
 
     def _forget(self) -> None:
-        self.words: dict[bytes, int] = {}
+        # White space at either end of a text is cut off as an empty word, which has no ids.
+        self.words: dict[bytes, int] = {b"": 0}
         self.parts: dict[bytes, int] = {b"": 0}
-        self.core, self.tail = array("q"), array("q")
+        self.core, self.tail = array("q", [0]), array("q", [0])
         self.first, self.count, self.flat = array("q", [0]), array("q", [0]), array("I")
         self.size = 0
 
-    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+    def _encode(self, texts: list[bytes], tokenizer=None) -> list[np.ndarray]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
     def _learn_parts(self, fresh: list[bytes]) -> None:
         """Encode and remember parts of words."""
-        letters = [p for p in fresh if p.isalpha()]
-        fresh = [p for p in fresh if not p.isalpha()]
+        whole = [self.plain is not None and LETTERS(p) is not None for p in fresh]
+        letters, fresh = list(compress(fresh, whole)), [p for p, x in zip(fresh, whole, strict=True) if not x]
         alone, rest = (fresh, []) if self.cut is None else self._marked(fresh)
         groups = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
         between = self.cut[1].encode() if self.cut else b""
-        one = self.tokenizer.model.tokenize
-        known = [[t.id for t in one(p.decode())] for p in letters]
-        counts = [np.fromiter(map(len, known), np.int64, len(known))]
-        ids = [np.fromiter(chain.from_iterable(known), np.uint32)]
+        counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        lines = [letters[i : i + TOGETHER] for i in range(0, len(letters), TOGETHER)]
+        for group, found in zip(lines, self._encode([b" ".join(g).decode().lower().encode() for g in lines], self.plain), strict=True):
+            ends = np.flatnonzero(self.last[found]) + 1
+            if len(ends) != len(group):
+                raise ValueError("the tokenizer's model does not mark the ends of words")
+            counts.append(np.diff(ends, prepend=0))
+            ids.append(found)
         for group, found in zip(groups, self._encode([between.join(g) for g in groups]), strict=True):
             ends = np.append(np.flatnonzero(found == self.cut[0]), len(found))
             if len(ends) != len(group):
@@ -152,20 +182,20 @@ class Encoder:
         self.count.extend(counts.tolist())
         self.flat.frombytes(np.concatenate(ids).astype(np.uint32).tobytes())
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
         """Remember words.
 
         A word is cut where the tokenizer cuts it for certain, between a letter or
-        digit and the points and commas at its end, and A-Z is lower-cased as it does;
+        digit and the ASCII punctuation at its end, and A-Z is lower-cased as it does;
         words with a mark of a special token are left alone.
         """
-        marked, plain = self._marked(list(words))
-        bare = [w.rstrip(b".,") for w in plain]
+        marked, plain = self._marked(words)
+        bare = [w.rstrip(PUNCTUATION) for w in plain]
         cut = [(b.lower(), w[len(b) :]) if b[-1:].isalnum() else (w, b"") for w, b in zip(plain, bare, strict=True)]
         cores, tails = [*marked, *[c for c, _ in cut]], [*[b""] * len(marked), *[t for _, t in cut]]
-        fresh = {*cores, *tails} - self.parts.keys()
+        fresh = list(filterfalse(self.parts.__contains__, {*cores, *tails}))
         if fresh:
-            self._learn_parts(list(fresh))
+            self._learn_parts(fresh)
         self.words.update(zip([*marked, *plain], range(len(self.core), len(self.core) + len(cores)), strict=True))
         self.core.extend(map(self.parts.__getitem__, cores))
         self.tail.extend(map(self.parts.__getitem__, tails))
@@ -184,20 +214,26 @@ class Encoder:
         if not self.by_word:
             ids = self._encode([t or b"" for t in texts])
             return np.concatenate([*ids, np.zeros(0, np.uint32)]), np.cumsum([0, *map(len, ids)])
-        split = [(t or b"").split() for t in texts]
-        words = list(chain.from_iterable(split))
-        fresh = set(words) - self.words.keys()
+        column = pa.array([t or b"" for t in texts], pa.large_binary()).view(pa.large_string())
+        split = pc.ascii_split_whitespace(column)
+        coded = split.values.dictionary_encode()
+        words = coded.dictionary.view(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        # Looked up one by one: a difference with the keys would go through all that is remembered.
+        known = list(map(self.words.get, words))
+        fresh = [w for w, i in zip(words, known, strict=True) if i is None]
         if len(self.words) + len(fresh) > REMEMBERED or self.size > REMEMBERED_BYTES:
             self._forget()
-            fresh = set(words)
+            known, fresh = [None if w else 0 for w in words], list(filter(None, words))
         self._learn(fresh)
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        parts = np.column_stack([np.frombuffer(x, np.int64)[at] if len(at) else at for x in (self.core, self.tail)]).ravel()
+        new = map(self.words.__getitem__, fresh)
+        known = [next(new) if i is None else i for i in known]
+        at = np.array(known, np.int64)[coded.indices.to_numpy()]
+        parts = np.column_stack([np.frombuffer(x, np.int64)[at] for x in (self.core, self.tail)]).ravel()
         counts = np.frombuffer(self.count, np.int64)[parts]
         ends = np.concatenate([[0], np.cumsum(counts)])
         spots = np.repeat(np.frombuffer(self.first, np.int64)[parts] - ends[:-1], counts) + np.arange(ends[-1])
         ids = np.frombuffer(self.flat, np.uint32)[spots] if len(spots) else np.zeros(0, np.uint32)
-        return ids, ends[2 * np.cumsum([0, *map(len, split)])]
+        return ids, ends[2 * split.offsets.to_numpy()]
 
     def ids(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit bytes."""
@@ -216,8 +252,9 @@ def encoded(docs: DataFrame, tokenizer: str, vocabulary: int, end: int, by_word:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = Encoder.of(tokenizer, by_word)
         for batch in batches:
-            for low in range(0, batch.num_rows, PIECE):
-                piece = batch.slice(low, PIECE)
+            step = max(1, PIECE_BYTES * batch.num_rows // (batch.column(1).get_total_buffer_size() + 1))
+            for low in range(0, batch.num_rows, step):
+                piece = batch.slice(low, step)
                 ids, ends = encoder.together(byte_texts(piece.column(1)))
                 closed = np.insert(ids, ends[1:], end).astype(kind)
                 offsets = (ends + np.arange(len(ends))) * kind.itemsize

@@ -49,6 +49,20 @@ def test_words_forgotten_and_learnt_again(monkeypatch):
     assert [few.ids([t])[0] for t in texts] == want and len(few.words) <= 80
 
 
+def test_new_words_cost_no_pass_over_the_remembered_ones():
+    class Remembered(dict):
+        def __iter__(self):
+            raise AssertionError("went through all remembered words")
+
+        keys = items = values = __iter__
+
+    path = tokens.tokenizer_path()
+    texts = [prose(random.Random(i), 30).encode() + b" x%d." % i for i in range(6)]
+    encoder = tokens.Encoder(path, True)
+    encoder.words, encoder.parts = Remembered(encoder.words), Remembered(encoder.parts)
+    assert [encoder.ids([t])[0] for t in texts] == tokens.Encoder(path, False).ids(texts)
+
+
 def test_token_file(spark, documents, tmp_path):
     rows = corpus(2)
     docs, path, target = documents(rows).repartition(3), tokens.tokenizer_path(), str(tmp_path / "file")
