@@ -173,3 +173,14 @@ def test_findings_are_written_group_by_group(make):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation") == len(an.GROUPS) and "Join" not in plan
     assert rows(found, "package", "errno") == [("a", 301)]
+
+
+def test_latest_packages_of_the_detectors_are_written_narrow(spark, make, monkeypatch):
+    from poolscope.checks import queries
+    from poolscope.checks.fixtures import Fixtures
+
+    every = with_version_key(make("packages", [file("a", "1", "a1"), file("a", "2", "a2"), file("b", "1", "b1", debtime=None)]))
+    monkeypatch.setattr(queries, "kept_packages", lambda fx: every)
+    latest = queries.detected_latest(Fixtures(spark, "no folder"))
+    assert rows(latest, "package", "version", "filename", "size") == [("a", "2", "a2", 10)]
+    assert not {"description", "maintainer"} & set(latest.columns)
